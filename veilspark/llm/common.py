@@ -43,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A table with a broadcast hint if it has at most ``rows`` rows, else as it is.
+
+    Counted first, so that what is broadcast is bounded; a larger table is joined by a
+    shuffle whose skewed partitions Spark splits.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

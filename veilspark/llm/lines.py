@@ -79,14 +79,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, h, text)``: ``doc_id, h, cuts`` with the byte ranges to remove of each document."""
     spans = materialize(chunk_hashes(docs))
     place = F.struct("doc_id", "h", "start")
-    seen = spans.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    again = spans.join(seen.select("chunk", "first"), "chunk").withColumn("is_first", place == F.col("first"))
+    seen = materialize(spans.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk", "first"))
+    again = spans.join(seen, "chunk").withColumn("is_first", place == F.col("first"))
     wanted = again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "chunk", "is_first")).alias("spans"))
     named = wanted.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "spans")
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", F.col("text").cast("binary").alias("text"), "spans")
     cut = texts.select("doc_id", "h", "text", F.explode("spans").alias("s")).select("doc_id", "h", "s.*", F.expr("substring(text, int(s.start) + 1, int(s.stop - s.start))").alias("bytes"))
     cut = materialize(cut)
-    firsts = cut.where("is_first").groupBy("chunk").agg(F.first("bytes").alias("original"))
+    firsts = materialize(cut.where("is_first").groupBy("chunk").agg(F.first("bytes").alias("original")))
     same = cut.where("not is_first").join(firsts, "chunk").where(F.col("bytes") == F.col("original"))
     return same.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, session, word_count
+from .common import materialize, session, small, word_count
 
 HASH_BITS, LEVEL_BITS = 48, 12
 MOST_COPIES = 3
@@ -49,7 +49,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
     for level in range(HASH_BITS // LEVEL_BITS):
         low = HASH_BITS - (level + 1) * LEVEL_BITS
-        near = rows.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        near = rows.join(small(state).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         inside = near.where(F.shiftright("hash", low + LEVEL_BITS) == F.col("prefix"))
         sums = inside.groupBy("source", F.shiftright("hash", low).alias("bucket")).agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.first("prefix").alias("prefix"))
         run = Window.partitionBy("source").orderBy("bucket")
@@ -82,7 +82,7 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = materialize(plan.withColumn("budget", F.floor(F.col("target") - F.col("base") * F.col("source_size")).cast("long")))
     cut = thresholds(rows, plan.where("budget > 0 and base < 3").select("source", "budget"))
     plan = plan.join(cut.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left").drop("c").withColumnRenamed("source", "s")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    out = rows.join(small(materialize(plan)), F.col("source").eqNullSafe(F.col("s")))
     copies = F.col("base") + (F.col("hash") < F.coalesce("threshold", F.lit(0))).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "hash")
 

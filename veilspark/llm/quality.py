@@ -42,13 +42,12 @@ def content_features(text: bytes) -> list[float]:
     words = text.split()
     m = max(1, len(words))
     ends = [0.0] * HASHED
-    part = words if len(words) <= 4096 else words[:: len(words) // 2048]
-    for w in part:
+    for w in words:
         ends[crc32(w[-2:]) % HASHED] += 1
     distinct = len(set(words)) / m
     kinds = [1 - less(b"0123456789"), 1 - less(b"#$%&*@^~"), 1 - less(b"!?"), 1 - less(b"|<>{}[]\\_="), 1 - less(b".,;:"), 1 - less(b"\"'()-"), 1 - less(b" \t\n\r")]
-    shout = sum(map(bytes.isupper, part)) / max(1, len(part))
-    return [1.0, letters, upper, *[math.sqrt(x) for x in kinds], min(3.0, n / m / 6), distinct, shout, math.sqrt(upper), *[math.sqrt(x / max(1, len(part))) for x in ends]]
+    shout = sum(map(bytes.isupper, words)) / m
+    return [1.0, letters, upper, *[math.sqrt(x) for x in kinds], min(3.0, n / m / 6), distinct, shout, math.sqrt(upper), *[math.sqrt(x / m) for x in ends]]
 
 
 def meta_features(text: bytes, lang: str | None, source: str | None, n_chars: float) -> list[float]:
