@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
 
 #: Rows in one Arrow batch: texts can be long, so batches stay short.
-ARROW_ROWS = 500
+ARROW_ROWS = 1000
 
 
 def session(df: DataFrame) -> SparkSession:

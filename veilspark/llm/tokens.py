@@ -1,16 +1,18 @@
 """Token ids of whole texts, by the tokenizers library, inside Arrow batches.
 
 Neither tokenizer used here has a token that reaches across a space which follows a
-non-space character, so a text's ids are those of its pieces cut before such
-spaces. A batch is cut and dictionary-encoded by Arrow, and only pieces that the
-worker has not seen lately go through the tokenizer. A text in which a space follows white
-space goes through the tokenizer whole.
+non-space character, from a letter to a full stop or comma, or from a newline to a
+letter, so a text's ids are those of its pieces cut at such places. A batch is cut
+and dictionary-encoded by Arrow, and only pieces that the worker has not seen lately
+go through the tokenizer. A text in which a space follows white space goes through
+the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A space after white space: what keeps a text from being cut.
-UNCUT = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}] "
+#: A space after white space, or the mark itself: what keeps a text from being cut.
+SPACE = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
+UNCUT = rf"[{SPACE}] |\x{{01}}"
+#: Letters that stay one letter when normalised and lower-cased.
+LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
+MARK = "\x01"
 
 _CACHES: dict[str, Pieces] = {}
 
@@ -33,6 +39,7 @@ class Pieces:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4")
         self.clear()
 
@@ -47,7 +54,7 @@ class Pieces:
     def add(self, ids: list[list[int]]) -> range:
         """Store id lists; their numbers."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((y for x in ids for y in x), self.dtype, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(lengths.sum()))
         for name, n, more in (("start", self.n, len(ids)), ("length", self.n, len(ids)), ("ids", self.used, len(flat))):
             if n + more > len(getattr(self, name)):
                 setattr(self, name, np.concatenate((getattr(self, name)[:n], np.zeros(n + 2 * more, getattr(self, name).dtype))))
@@ -75,12 +82,15 @@ class Pieces:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(whole), "", texts)
-        lists = pc.split_pattern(cut, " ")
+        if self.folds:
+            cut = pc.ascii_lower(cut)
+        cut = pc.replace_substring_regex(cut, rf"({LETTER})([.,])", rf"\1{MARK}\2")
+        cut = pc.replace_substring_regex(cut, rf"([^{SPACE}]\n)(\p{{L}})", rf"\1{MARK}\2")
+        lists = pc.split_pattern(pc.replace_substring(cut, " ", f"{MARK} "), MARK)
         offsets = lists.offsets.to_numpy()
         words = lists.flatten().dictionary_encode()
-        number = self.numbers([" " + x for x in words.dictionary.to_pylist()])[words.indices.to_numpy()]
+        number = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
         first = offsets[:-1] - offsets[0]
-        number[first] = self.numbers(lists.flatten().take(pa.array(first)).to_pylist())
         for at in np.flatnonzero(whole):
             number[first[at]] = self.add(self.encode([texts[int(at)].as_py()]))[0]
         end = self.add([[end_id]])[0]
