@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import detection
+
+MODULES = [detection]
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Detect with all patterns and mask."""
+    return detection.redacted(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
