@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, records, retrieval
 
-MODULES = [detection]
+MODULES = [detection, records, retrieval]
 
 
 def flagship(spark, sf_dir):
