@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 VIN_FROM, VIN_TO = "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"
@@ -55,7 +56,7 @@ def vin(text: Column) -> Column:
     return F.when(~shaped, F.lit(False)).when(F.substring(s, 9, 1) == check, F.lit(True)).when(s.rlike("^[1-5]"), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def wallet(text: pd.Series) -> pd.Series:
     """Base58Check: the last four bytes are the start of a double SHA-256 (big integers: no builtin)."""
 
