@@ -59,6 +59,30 @@ def hamming_components(found):
     return [least.get(find(r["fingerprint"])) for r in found]
 
 
+def test_similar_groups(spark):
+    """Copies with one word in sixty changed are found, texts that share half of their words stay apart, also in a large group."""
+    words = lambda seed, n: [f"w{(seed * 7919 + k * 104729) % 99991}" for k in range(n)]
+    rows, pairs, lone = [], [], []
+    for n in range(40):
+        base = words(n, 120)
+        changed = [*base[:60], f"other{n}", *base[61:]]
+        half = [*base[:60], *words(1000 + n, 60)]
+        rows += [(10 * n, " ".join(base)), (10 * n + 1, " ".join(changed)), (10 * n + 2, " ".join(half))]
+        pairs.append((10 * n, 10 * n + 1))
+        lone.append(10 * n + 2)
+    crowd = words(5000, 300)
+    rows += [(1000 + k, " ".join([*crowd[:k], f"edit{k}", *crowd[k + 1 :]])) for k in range(200)]
+    rows += [(5000, None), (5001, " "), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 38
+    assert all(found[x] == x for x in lone)
+    assert {found[1000 + k] for k in range(200)} == {1000}
+    assert found[5000] == found[5001] == 5000 and None not in found
+    kept = simhash.keep_one(docs.withColumn("component_id", docs["doc_id"]))
+    assert kept.columns == ["doc_id", "text", "component_id"] and kept.where("doc_id is null").count() == 1
+
+
 def test_simhash(docs, empty):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == docs.count()

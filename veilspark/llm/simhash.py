@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, materialize, session
 
@@ -32,25 +33,34 @@ SEGMENTS = 16
 SEED = 42
 
 
-def fingerprint(text: bytes | None, width: int = 3, tables: int = 1) -> list[int]:
-    """Signed 64-bit fingerprints of one text, one per table.
+def shingle_hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included; none without words.
 
     A-Z are lower-cased, words are runs free of ASCII white space, shingles are
-    ``width`` words joined by a space with repeats counted (the whole sequence if
-    shorter). No words: zero. Table 0 takes XXH64 with seed 42 as it is, the
-    others a fixed bijection of it.
+    ``width`` words joined by a space (the whole sequence if shorter).
     """
     words = (text or b"").lower().split()
     if not words:
-        return [0] * tables
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    h = np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, n)
-    return [majority(mix(h, t)) for t in range(tables)]
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, width: int = 3, tables: int = 1, distinct: bool = False) -> list[int]:
+    """Signed 64-bit fingerprints of one text, one per table; zero without words.
+
+    Table 0 takes the shingles' hashes as they are, the others a fixed bijection of
+    them. ``distinct``: repeated shingles count once.
+    """
+    h = shingle_hashes(text, width)
+    if distinct:
+        h = np.unique(h)
+    return [majority(mix(h, t)) for t in range(tables)] if len(h) else [0] * tables
 
 
 def mix(h: np.ndarray, table: int) -> np.ndarray:
@@ -71,12 +81,12 @@ def majority(h: np.ndarray, rows: int = 65536) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(text: Column, width: int, tables: int = 1) -> Column:
+def fingerprints(text: Column, width: int, tables: int = 1, distinct: bool = False) -> Column:
     """Column of fingerprints (array of long) of a text column."""
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([fingerprint(x, width, tables) for x in batch])
+            yield pd.Series([fingerprint(x, width, tables, distinct) for x in batch])
 
     return F.pandas_udf(each, "array<long>")(text.cast("binary"))
 
@@ -127,14 +137,10 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, crowd: int = 64) -> Dat
     return both[0].unionByName(both[1]).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 1
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links, itself included.
-    With more than one table, documents are linked if any table links them; the
-    fingerprint returned is that of table 0.
 
     Null text counts as empty, and texts without words have fingerprint zero and
     link to each other like any others. A row with null ``doc_id`` takes part, but
@@ -143,39 +149,108 @@ def near_duplicates(
     empty result.
     """
     session(docs)
-    marked = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), width, tables).alias("fps")))
-    if tables == 1:
-        nodes = marked.select("doc_id", F.col("fps")[0].alias("fp"))
-        least = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        roots = components(fingerprint_links(least.select("fp")))
-        groups = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-        named = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
-        return nodes.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    # One node per distinct tuple of fingerprints; a table's fingerprint links its tuples in a star.
-    keyed = marked.select("doc_id", "fps", F.xxhash64("fps").alias("node"))
-    tuples = materialize(keyed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
-    edges = None
-    for t in range(tables):
-        own = tuples.select("node", F.col("fps")[t].alias("fp"))
-        star = own.groupBy("fp").agg(F.min("node").alias("root"))
-        links = fingerprint_links(star.select("fp"))
-        named = links.join(star.select(F.col("fp").alias("a"), F.col("root").alias("x")), "a").join(star.select(F.col("fp").alias("b"), F.col("root").alias("y")), "b")
-        found = own.join(star, "fp").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        edges = found if edges is None else edges.unionByName(found)
-    roots = components(edges)
-    groups = tuples.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    marked = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), width).alias("fps")))
+    nodes = marked.select("doc_id", F.col("fps")[0].alias("fp"))
+    least = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    roots = components(fingerprint_links(least.select("fp")))
+    groups = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    named = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
+    return nodes.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Grids for similarity joins: each takes BAND_BITS one-bit segments of a fingerprint of 64 * POOL bits.
+POOL, BANDS, BAND_BITS = 4, 96, 22
+PLACES = np.stack([np.random.default_rng(k).choice(64 * POOL, BAND_BITS, replace=False) for k in range(BANDS)])
+#: Differing bits of POOL fingerprints: alike without comparing shingles; worth comparing them.
+SAME, SCREEN = 28, 64
+
+
+def band_keys(fps: Column) -> Column:
+    """The cell of a fingerprint in each of the grids (array of int)."""
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights, grid = 1 << np.arange(BAND_BITS, dtype=np.int64), np.arange(BANDS, dtype=np.int64) << BAND_BITS
+        for batch in batches:
+            bits = np.unpackbits(np.array(batch.tolist(), np.int64).reshape(-1, POOL).view(np.uint8), axis=1, bitorder="little")
+            yield pd.Series(list((bits[:, PLACES] @ weights + grid).astype(np.int32)))
+
+    return F.pandas_udf(each, "array<int>")(fps)
+
+
+def jaccard_at_least(a: Column, b: Column, width: int, similarity: float) -> Column:
+    """Whether two texts' sets of shingles have that Jaccard similarity."""
+
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            said = []
+            for x, y in zip(left, right, strict=True):
+                p, q = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                said.append(both >= similarity * (len(p) + len(q) - both))
+            yield pd.Series(said, dtype=bool)
+
+    return F.pandas_udf(each, "boolean")(a.cast("binary"), b.cast("binary"))
+
+
+def cell_partners(tuples: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes that share a cell: each with the cell's first node and the three before it.
+
+    Cells of up to four nodes give all their pairs; a larger cell gives at most four
+    pairs a node, so a group of copies costs in proportion to its size.
+    """
+    keyed = tuples.select("node", F.explode(band_keys(F.col("fps"))).alias("cell"))
+    w = Window.partitionBy("cell").orderBy("node")
+    first = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = keyed.select("node", F.array_distinct(F.array(first, *[F.lag("node", k).over(w) for k in (1, 2, 3)])).alias("others"))
+    return near.select(F.col("node").alias("a"), F.explode(F.filter("others", lambda o: o.isNotNull() & (o != F.col("node")))).alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, component_id`` over pairs of similar texts.
+
+    At a similarity of 0.8 fingerprints differ in about 15 % of their bits, far beyond
+    a radius of two, so candidates come from many grids of one-bit segments (a
+    segment's count is then the bit, and the Manhattan distance the Hamming distance):
+    two texts meet if any grid puts them in one cell. The distance over all bits is
+    then counted exactly: up to ``SAME`` bits they are linked (for smaller similarities
+    than 0.75 that is rarer than 1 in 200), up to ``SCREEN`` bits their sets of shingles
+    are compared, unless links already join them.
+
+    Null text counts as empty; texts without words are alike. Rows with null ``doc_id``
+    are left out.
+    """
+    session(docs)
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = materialize(own.select("doc_id", F.xxhash64("text").alias("body"), fingerprints(F.col("text"), width, POOL, distinct=True).alias("fps")))
+    keyed = marked.select("doc_id", "body", "fps", F.xxhash64("fps").alias("node"))
+    tuples = materialize(keyed.groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("rep"), F.first("fps").alias("fps")))
+    side = lambda n: tuples.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}"))
+    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(POOL)), F.lit(0))
+    met = materialize(cell_partners(tuples).join(side("a"), "a").join(side("b"), "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= SCREEN))
+    sure = met.where(F.col("bits") <= SAME).select("a", "b")
+    roots = materialize(components(sure))
+    root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    open_ = materialize(met.where(F.col("bits") > SAME).join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b"))
+    needed = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct().join(tuples, "node").select("node", "rep.doc_id", "rep.body")
+    texts = own.join(needed, (own["doc_id"] == needed["doc_id"]) & (F.xxhash64(own["text"]) == needed["body"])).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts)
+    text = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
+    alike = open_.join(text("a"), "a").join(text("b"), "b").where(jaccard_at_least(F.col("ta"), F.col("tb"), width, similarity)).select("a", "b")
+    all_roots = components(sure.unionByName(alike))
+    groups = tuples.select("node", "rep.doc_id").join(all_roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    return keyed.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return keyed.join(named, "node").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, tables: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, with all columns of ``docs``.
 
     The document kept is the one with the group's smallest ``doc_id``; of repeated
-    rows with that id one stays, the one whose text hashes lowest. Documents with
-    null id are never matched to others and stay.
+    rows with that id one stays. Documents with null id are never matched to others
+    and stay.
     """
-    found = near_duplicates(docs, width=width, tables=tables)
+    found = similar_groups(docs, width, similarity)
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti")
     return left.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
