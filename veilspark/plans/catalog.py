@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, graph, records, retrieval
+from . import detection, graph, listing, records, retrieval
 
-MODULES = [detection, graph, records, retrieval]
+MODULES = [detection, graph, listing, records, retrieval]
 
 
 def flagship(spark, sf_dir):
