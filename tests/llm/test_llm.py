@@ -120,6 +120,37 @@ def test_line_dedup(docs, empty):
     assert total > 5 and sum(len(r["_vs_cuts"] or []) for r in lines.dedup(docs.dropDuplicates()).collect()) == total
 
 
+@pytest.mark.parametrize("joint", [" ", ". ", "\n"])
+def test_planted_passages(spark, joint):
+    """Passages of 51 to 150 words in the middle of unrelated documents go whole, from all but the first; 30 words stay."""
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.choice(WORDS)}{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for n, size in enumerate([*range(51, 151, 3), 30, 30]):
+        planted = words(size)
+        for k in range(3):
+            head, tail = words(80 + 7 * k), words(90)
+            text = " ".join(head) + " " + "".join(w + (joint if i % 9 == 8 else " ") for i, w in enumerate(planted)) + " ".join(tail)
+            rows.append((3 * n + k, text))
+            want[3 * n + k] = head + tail if k and size > 50 else text.split()
+    got = {r["doc_id"]: (r["text"].split(), r["_vs_cuts"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [k for k in want if got[k][0] != want[k] and (joint == " " or k < 3 * 34)]
+    assert not wrong
+
+
+def test_seeds():
+    """Any 50 words in a row hold a whole seed that both texts around them have."""
+    rng = random.Random(3)
+    for _ in range(200):
+        shared = sentence(rng, 50)
+        found = []
+        for _ in range(2):
+            head = sentence(rng, rng.randint(1, 60)) + " "
+            text = (head + shared + " " + sentence(rng, rng.randint(1, 60))).encode()
+            found.append({(a - len(head), b - len(head)) for a, b, _ in zip(*lines.seeds(text)) if a >= len(head) and b <= len(head) + len(shared)})
+        assert found[0] & found[1]
+
+
 def test_mixing(spark, docs, empty):
     found = mixing.mix(docs).collect()
     assert len(found) == docs.count() and mixing.mix(empty).count() == 0

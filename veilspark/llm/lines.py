@@ -7,9 +7,17 @@ a multiple of ``EVERY``: boundaries depend on nearby lines alone and move with t
 A chunk of two lines or more that occurs again anywhere is removed, after its bytes
 have been compared with those of its first occurrence, which stays.
 
-Hashes and positions of chunks are shuffled, never all texts by chunk: the texts
-of documents with repeated chunks are joined by document, and of those only the
-repeated chunks' bytes travel to the comparison.
+Such chunks miss passages that hold none of them whole, so a rolling hash over words
+gives seeds as well: of each ``REACH`` neighbouring runs of ``GRAM`` words the one with
+the least hash. Any ``PASSAGE`` words in a row thus hold a whole seed that depends on
+them alone. Every match, chunk or seed, is compared by its bytes and extended
+both ways, word by word, against its first occurrence; matches that touch are one
+passage. It goes if it holds a repeated chunk or has ``PASSAGE`` words.
+
+Hashes and positions are shuffled, never all texts by chunk: the texts of documents
+with repeated chunks are joined by document, and of those only the repeated chunks'
+bytes travel to the comparison, with up to ``REACH`` words on either side (the next
+seed of a passage starts no later).
 """
 
 from __future__ import annotations
@@ -27,6 +35,13 @@ from pyspark.sql import functions as F
 from .common import materialize, session
 
 EVERY, LONGEST, LEAST_LINES, LEAST_WORDS = 3, 64, 2, 10
+GRAM, PASSAGE = 12, 50
+REACH = PASSAGE - GRAM + 1
+WHITE = b" \t\n\v\f\r"
+#: Hash of a byte range: a sum of BYTES times powers of BASE, made free of its place by powers of the inverse.
+BASE = 0x5851F42D4C957F2D
+BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
 
 
@@ -60,35 +75,210 @@ def candidates(text: bytes | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b, n in chunks(text) if n >= LEAST_LINES and len(text[a:b].split()) >= LEAST_WORDS]
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` (or more) powers of ``BASE`` and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+            out = np.full(2 * n, base, np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each word."""
+    b = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) over each ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x, done = of(x[:-step], x[step:]), done + step
+    return x
+
+
+def seeds(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start bytes, end bytes and hashes of a text's seeds, in order."""
+    start, stop = word_bounds(text or b"")
+    if len(start) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    start, stop = start[: len(start) - GRAM + 1], stop[GRAM - 1 :]
+    up, down = powers(len(text) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[np.frombuffer(text, np.uint8)] * up[: len(text)], dtype=np.uint64)))
+        h = (total[stop] - total[start]) * down[start]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    edge = np.zeros(REACH - 1, np.uint64)
+    best = sliding(np.concatenate((edge, sliding(h, REACH, np.minimum), edge)), REACH, np.maximum)
+    at = np.flatnonzero(best == h)
+    return start[at], stop[at], h[at]
+
+
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, h, text)`` as a row per candidate: ``doc_id, h, start, stop, chunk``."""
+    """``docs(doc_id, h, text)`` as a row per candidate or seed: ``doc_id, h, start, stop, chunk`` (``chunk`` is odd for a seed)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for d, h, text in zip(batch["doc_id"].to_pylist(), batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for a, b in candidates(text):
-                    for x, y in zip(out, (d, h, a, b, xxhash.xxh3_64_intdigest(text[a:b]) - 2**63), strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "h", "start", "stop", "chunk"])
+            out: tuple[list, ...] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
+            counts = []
+            for text in batch["text"].to_pylist():
+                own = candidates(text)
+                flat = np.array(own, np.int64).reshape(-1, 2)
+                whole = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in own), np.uint64, len(own))
+                start, stop, h = seeds(text)
+                counts.append(len(own) + len(h))
+                out[0].extend((flat[:, 0], start))
+                out[1].extend((flat[:, 1], stop))
+                out[2].extend(((whole & np.uint64(2**64 - 2)).view(np.int64), (h | np.uint64(1)).view(np.int64)))
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["h"].take(row), *[pa.array(np.concatenate(x)) for x in out]], names=["doc_id", "h", "start", "stop", "chunk"])
 
     return docs.select("doc_id", "h", F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, h long, start long, stop long, chunk long")
 
 
+def after(ours: bytes, first: bytes) -> int:
+    """How many bytes both start with, up to the end of a word of both or of the white space behind it."""
+    n = min(len(ours), len(first))
+    if ours[:n] != first[:n]:
+        n = int((np.frombuffer(ours, np.uint8, n) != np.frombuffer(first, np.uint8, n)).argmax())
+    ends = all(n == len(x) or x[n] in WHITE for x in (ours, first))
+    while n and not ends and ours[n - 1] not in WHITE:
+        n -= 1
+    return n
+
+
+def before(ours: bytes, first: bytes) -> int:
+    """How many bytes both end with, from the start of a word of both on."""
+    n = min(len(ours), len(first))
+    if n and ours[-n:] != first[-n:]:
+        n = int((np.frombuffer(ours, np.uint8)[: -n - 1 : -1] != np.frombuffer(first, np.uint8)[: -n - 1 : -1]).argmax())
+    starts = all(n == len(x) or x[len(x) - n - 1] in WHITE for x in (ours, first))
+    while n and not starts and ours[len(ours) - n] not in WHITE:
+        n -= 1
+    while n and ours[len(ours) - n] in WHITE:
+        n -= 1
+    return n
+
+
+SPANS = "doc_id long, h long, start long, stop long, chunk long, is_first boolean, word long, head binary, bytes binary, tail binary"
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """``texts(doc_id, h, text, spans)`` as ``SPANS``: each span's bytes and the ``REACH`` words before and behind them.
+
+    Neighbours of one passage (same ``run``) give only the bytes between them, and a seed goes unless its passage
+    needs it: those left lie within ``REACH`` words of each other. ``word`` counts the words before the span.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("chunk", pa.int64()), ("is_first", pa.bool_()), ("word", pa.int64()), ("head", pa.binary()), ("bytes", pa.binary()), ("tail", pa.binary())])
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for d, h, text, spans in zip(*[batch[n].to_pylist() for n in ("doc_id", "h", "text", "spans")], strict=True):
+                starts, _ = word_bounds(text)
+                edges = np.append(starts, len(text))
+                spans.sort(key=lambda s: (s["start"], s["stop"]))
+                a, b = np.array([s["start"] for s in spans]), np.array([s["stop"] for s in spans])
+                word, behind = np.searchsorted(starts, a), np.searchsorted(starts, b)
+                low = np.minimum(edges[np.maximum(word - REACH, 0)], a)
+                high = np.maximum(edges[np.minimum(behind + REACH, len(starts))], b)
+                low[word <= REACH] = 0
+                runs: dict[int, list[int]] = {}
+                for k, s in enumerate(spans):
+                    if not s["is_first"]:
+                        runs.setdefault(s["run"], []).append(k)
+                skipped = set()
+                for run in runs.values():
+                    p, far = run[0], high[run[0]]
+                    for k, following in zip(run[1:], [*run[2:], None], strict=False):
+                        if following is not None and spans[k]["chunk"] & 1 and a[following] <= far:
+                            skipped.add(k)
+                            continue
+                        if a[k] <= far:
+                            high[p], low[k] = max(b[p], a[k]), min(b[p], a[k])
+                        p, far = k, high[k]
+                for k, s in enumerate(spans):
+                    if k in skipped:
+                        continue
+                    row = (d, h, s["start"], s["stop"], s["chunk"], s["is_first"], int(word[k]), text[low[k] : a[k]], text[a[k] : b[k]], text[b[k] : high[k]])
+                    for x, y in zip(out, row, strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(each, SPANS)
+
+
+def extended(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a repeated span and ``first_head``, ``first_tail``) with ``low, high`` bytes and ``first_word, last_word`` of the match."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            names = ("start", "stop", "word", "head", "bytes", "tail", "first_head", "first_tail")
+            for start, stop, word, head, body, tail, first_head, first_tail in zip(*[batch[n].to_pylist() for n in names], strict=True):
+                left, right = before(head, first_head), after(tail, first_tail)
+                ahead = len(head[len(head) - left :].split())
+                for x, y in zip(out, (start - left, stop + right, word - ahead, word + len((body + tail[:right]).split())), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in ("doc_id", "h", "start", "chunk")], *[pa.array(x, pa.int64()) for x in out]], names=["doc_id", "h", "start", "chunk", "low", "high", "first_word", "last_word"])
+
+    return pairs.mapInArrow(each, "doc_id long, h long, start long, chunk long, low long, high long, first_word long, last_word long")
+
+
+def passages(found: list) -> list[tuple[int, int]]:
+    """Byte ranges to remove, in order and apart, from a document's matches: one for each repeated chunk, else one for the passage."""
+    out: list[tuple[int, int]] = []
+    group: list = []
+
+    def close() -> None:
+        if not group:
+            return
+        low, high = group[0]["low"], max(m["high"] for m in group)
+        cores = sorted({m["start"] for m in group if not m["chunk"] & 1})
+        if cores or max(m["last_word"] for m in group) - group[0]["first_word"] >= PASSAGE:
+            bounds = [low, *cores[1:], high]
+            out.extend(zip(bounds[:-1], bounds[1:], strict=True))
+
+    reach = -1
+    for m in sorted(found, key=lambda m: (m["low"], m["high"])):
+        if m["low"] > reach:
+            close()
+            group = []
+        group.append(m)
+        reach = max(reach, m["high"])
+    close()
+    return out
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, h, text)``: ``doc_id, h, cuts`` with the byte ranges to remove of each document."""
     spans = materialize(chunk_hashes(docs))
     place = F.struct("doc_id", "h", "start")
     seen = materialize(spans.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk", "first"))
-    again = spans.join(seen, "chunk").withColumn("is_first", place == F.col("first"))
-    wanted = again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "chunk", "is_first")).alias("spans"))
+    run = F.xxhash64("first.doc_id", "first.h", F.col("start") - F.col("first.start"))
+    again = spans.join(seen, "chunk").withColumn("is_first", place == F.col("first")).withColumn("run", run)
+    wanted = again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "chunk", "is_first", "run")).alias("spans"))
     named = wanted.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "spans")
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", F.col("text").cast("binary").alias("text"), "spans")
-    cut = texts.select("doc_id", "h", "text", F.explode("spans").alias("s")).select("doc_id", "h", "s.*", F.expr("substring(text, int(s.start) + 1, int(s.stop - s.start))").alias("bytes"))
-    cut = materialize(cut)
-    firsts = materialize(cut.where("is_first").groupBy("chunk").agg(F.first("bytes").alias("original")))
+    cut = materialize(surroundings(texts))
+    one = F.first(F.struct("bytes", "head", "tail"))
+    firsts = cut.where("is_first").groupBy("chunk").agg(one.alias("f")).select("chunk", F.col("f.bytes").alias("original"), F.col("f.head").alias("first_head"), F.col("f.tail").alias("first_tail"))
     same = cut.where("not is_first").join(firsts, "chunk").where(F.col("bytes") == F.col("original"))
-    return same.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
+    matches = extended(same.drop("original", "is_first")).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "chunk", "low", "high", "first_word", "last_word")).alias("found"))
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[{"start": a, "stop": b} for a, b in passages(list(x))] for x in batch], dtype=object)
+
+    ranges = F.pandas_udf(each, "array<struct<start:long,stop:long>>")(F.col("found"))
+    return matches.select("doc_id", "h", ranges.alias("cuts")).where(F.size("cuts") > 0)
 
 
 def without(text: bytes, cuts: list) -> str:
@@ -101,7 +291,7 @@ def without(text: bytes, cuts: list) -> str:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, ``n_chars`` (if there) kept true, and
+    """``docs`` with repeated passages cut from ``text``, ``n_chars`` (if there) kept true, and
     ``_vs_cuts``: the byte ranges removed (null if none).
 
     The first occurrence is that of the least (doc_id, hash of id and text, position), null ids first.
