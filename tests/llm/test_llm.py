@@ -83,6 +83,16 @@ def test_similar_groups(spark):
     assert kept.columns == ["doc_id", "text", "component_id"] and kept.where("doc_id is null").count() == 1
 
 
+def test_template_family(spark):
+    """Texts on one template at a similarity of 0.75 all stay, and so does a second text under a removed document's id."""
+    own = lambda k, n: [f"own{k}x{j}" for j in range(n)]
+    shared = [f"w{j}" for j in range(304)]
+    rows = [(k, " ".join([*shared, *own(k, 50)])) for k in range(300)]
+    rows += [(1000, rows[0][1]), (1000, " ".join(own(7777, 60)))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted(r for r in rows if r != rows[300])
+
+
 def test_simhash(docs, empty):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == docs.count()
