@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,14 +119,20 @@ def decode(payload: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray,
     return out.T.reshape(-1)[:n]
 
 
+def flat_ids(column: pa.Array, width: int) -> np.ndarray:
+    """The ids of all documents of a batch, one after the other."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], f"<u{width}")[ends[0] // width : ends[-1] // width] if len(column) and column.buffers()[2] else np.empty(0, f"<u{width}")
+
+
 def count_ids(tokens: DataFrame, vocabulary: int, width: int) -> np.ndarray:
     """How often each id occurs over all documents; the driver receives one row per id at most."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=vocabulary)
+            total += np.bincount(flat_ids(batch.column("ids"), width), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -154,9 +161,10 @@ def write(tokens: DataFrame, path: str, vocabulary: int, width: int, part_tokens
 
         part = 0
         for batch in batches:
-            for part, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                held.append((doc_id, np.frombuffer(ids.as_buffer(), f"<u{width}")))
-                n += len(held[-1][1])
+            ids, at = flat_ids(batch.column("ids"), width), 0
+            for part, doc_id, size in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), (pc.binary_length(batch.column("ids")).to_numpy() // width).tolist(), strict=True):
+                held.append((doc_id, ids[at : at + size]))
+                at, n = at + size, n + size
                 if n >= BLOCK_TOKENS:
                     yield done(part)
                     held, n, block, start = [], 0, block + 1, start + n

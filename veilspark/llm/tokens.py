@@ -1,7 +1,7 @@
 """Token ids of whole texts, by the tokenizers library, inside Arrow batches.
 
 Neither tokenizer used here has a token that reaches across a space which follows a
-non-space character, from a letter to a full stop or comma, or from a newline to a
+non-space character, from a letter to ASCII punctuation other than an apostrophe, or from a newline to a
 letter, so a text's ids are those of its pieces cut at such places. A batch is cut
 and dictionary-encoded by Arrow, and only pieces that the worker has not seen lately
 go through the tokenizer. A text in which a space follows white space goes through
@@ -11,6 +11,7 @@ the tokenizer whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,14 @@ SPACE = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
 UNCUT = rf"[{SPACE}] |\x{{01}}"
 #: Letters that stay one letter when normalised and lower-cased.
 LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
+#: ASCII punctuation but the apostrophe: never in one token with a letter before it.
+POINT = r"[!-&(-/:-@\[-`{-~]"
 MARK = "\x01"
+#: One word of such letters, with or without a space before it.
+WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Byte-level alphabet: a byte that is no visible Latin-1 character stands as one of the characters from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
 
 _CACHES: dict[str, Pieces] = {}
 
@@ -49,7 +57,18 @@ class Pieces:
         self.start, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, self.dtype)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text. One word, with or without a space before it, is one pre-token as it
+        stands, so it goes to the merges directly, which saves two thirds of the time."""
+        merges, plain = self.tokenizer.model.tokenize, list(map(WORD, texts))
+        words = iter(self.shaped([x for x, p in zip(texts, plain, strict=True) if p]))
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [[t.id for t in merges(next(words))] if p else next(rest).ids for p in plain]
+
+    def shaped(self, words: list[str]) -> list[str]:
+        """Words as the merges take them: in lower case without their spaces, or with the space as a letter."""
+        line = "\n".join(words)
+        line = line.replace(" ", "").lower() if self.folds else line
+        return line.encode().decode("latin-1").translate(ALPHABET).split(chr(ALPHABET[10]))
 
     def add(self, ids: list[list[int]]) -> range:
         """Store id lists; their numbers."""
@@ -84,7 +103,7 @@ class Pieces:
         cut = pc.if_else(pa.array(whole), "", texts)
         if self.folds:
             cut = pc.ascii_lower(cut)
-        cut = pc.replace_substring_regex(cut, rf"({LETTER})([.,])", rf"\1{MARK}\2")
+        cut = pc.replace_substring_regex(cut, rf"({LETTER})({POINT})", rf"\1{MARK}\2")
         cut = pc.replace_substring_regex(cut, rf"([^{SPACE}]\n)(\p{{L}})", rf"\1{MARK}\2")
         lists = pc.split_pattern(pc.replace_substring(cut, " ", f"{MARK} "), MARK)
         offsets = lists.offsets.to_numpy()
@@ -98,7 +117,10 @@ class Pieces:
         lengths = self.length[number]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[number] - (ends - lengths), lengths) + np.arange(total)]
+        small = np.int32 if max(total, self.used) < 2**31 else np.int64
+        at = np.repeat((self.start[number] - (ends - lengths)).astype(small), lengths)
+        at += np.arange(total, dtype=small)
+        ids = self.ids[at]
         doc_ends = ends[(offsets[1:] - offsets[0]) + np.arange(len(first))]
         return ids, np.diff(doc_ends, prepend=0)
 
