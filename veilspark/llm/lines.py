@@ -4,94 +4,54 @@ A text is cut into lines (after each newline, and after each sentence end within
 line, so that a passage set as one paragraph counts as several lines). A rolling
 hash over the hashes of each two neighbouring lines puts a chunk boundary where it is
 a multiple of ``EVERY``: boundaries depend on nearby lines alone and move with them.
-A chunk of two lines or more that occurs again anywhere is removed, after its bytes
-have been compared with those of its first occurrence, which stays.
+A chunk of ``LEAST_LINES`` lines and ``LEAST_WORDS`` words or more that occurs again
+anywhere is removed, after its bytes have been compared with those of its first
+occurrence, which stays.
 
 Such chunks miss passages that hold none of them whole, so a rolling hash over words
 gives seeds as well: of each ``REACH`` neighbouring runs of ``GRAM`` words the one with
 the least hash. Any ``PASSAGE`` words in a row thus hold a whole seed that depends on
-them alone. Every match, chunk or seed, is compared by its bytes and extended
+them alone (where few words repeat in turn, one seed for each ``REACH`` words is kept). Every match, chunk or seed, is compared by its bytes and extended
 both ways, word by word, against its first occurrence; matches that touch are one
 passage. It goes if it holds a repeated chunk or has ``PASSAGE`` words.
 
-Hashes and positions are shuffled, never all texts by chunk: the texts of documents
-with repeated chunks are joined by document, and of those only the repeated chunks'
-bytes travel to the comparison, with up to ``REACH`` words on either side (the next
-seed of a passage starts no later).
+Hashes and positions are shuffled, never all texts by chunk. Documents that hold
+first occurrences give the bytes of those with ``REACH`` words on either side (the next
+seed of a passage starts no later); they travel to the documents that repeat them, where
+matches at one distance share them. A copy of a whole text meets the whole first text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session
+from . import shingles as H
+from .common import materialize, session, small
 
-EVERY, LONGEST, LEAST_LINES, LEAST_WORDS = 3, 64, 2, 10
+EVERY, LEAST_LINES, LEAST_WORDS = 3, 2, 10
 GRAM, PASSAGE = 12, 50
 REACH = PASSAGE - GRAM + 1
-WHITE = b" \t\n\v\f\r"
-#: Hash of a byte range: a sum of BYTES times powers of BASE, made free of its place by powers of the inverse.
-BASE = 0x5851F42D4C957F2D
-BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
-
-
-def lines(text: bytes) -> list[bytes]:
-    """The lines of a text with their ends; joined they are the text again."""
-    if b"\0" in text:
-        out = CUT.split(text)
-    else:
-        out = text.replace(b"\n", b"\n\0").replace(b". ", b". \0").replace(b"! ", b"! \0").replace(b"? ", b"? \0").split(b"\0")
-    return [x for x in out if x]
-
-
-def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
-    """``(start byte, end byte, lines)`` of each chunk, in order."""
-    own = lines(text or b"")
-    if not own:
-        return []
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-    with np.errstate(over="ignore"):
-        roll = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-    cut = np.flatnonzero((roll >> np.uint64(33)) % np.uint64(EVERY) == 0) + 1
-    bounds = np.concatenate(([0], cut, [len(own)]))
-    if np.diff(bounds).max() > LONGEST:
-        bounds = np.unique(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [[len(own)]]))
-    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))))
-    return list(zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), np.diff(bounds).tolist(), strict=True))
-
-
-def candidates(text: bytes | None) -> list[tuple[int, int]]:
-    """Byte ranges of the chunks that are removed when they repeat."""
-    return [(a, b) for a, b, n in chunks(text) if n >= LEAST_LINES and len(text[a:b].split()) >= LEAST_WORDS]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first ``n`` (or more) powers of ``BASE`` and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            out = np.full(2 * n, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS
+#: Hashes of the white-space byte behind a word.
+GAPS = np.random.default_rng(9).integers(0, 2**64, 256, np.uint64)
+PLACE = "struct<doc_id:long,t:long,start:int,stop:int>"
+ASK = f"array<struct<chunk:long,whole:boolean,first:{PLACE},run:int,shift:int,spans:array<int>>>"
 
 
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of each word."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def line_starts(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where lines begin: at a text's start, after a newline, after a sentence end and a space."""
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[1:] = buf == 10
+    cut[2:] |= (buf[1:] == 32) & ((buf[:-1] == 46) | (buf[:-1] == 33) | (buf[:-1] == 63))
+    after = ends[1:-1][ends[1:-1] + 1 < len(cut)]
+    cut[after + 1] = (buf[after] == 10) if len(after) else False  # a sentence end of the text before is none of this one
+    cut[ends[:-1]] = True
+    return np.flatnonzero(cut[:-1])
 
 
 def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -103,188 +63,219 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return x
 
 
-def seeds(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start bytes, end bytes and hashes of a text's seeds, in order."""
-    start, stop = word_bounds(text or b"")
-    if len(start) < PASSAGE:
+def chunk_spans(buf: np.ndarray, ends: np.ndarray, words: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and hash of the chunks that are removed when they repeat; ``words`` are the starts of words, ``bare`` their hashes."""
+    at = line_starts(buf, ends)
+    if not len(words):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    start, stop = start[: len(start) - GRAM + 1], stop[GRAM - 1 :]
-    up, down = powers(len(text) + 1)
+    begin = np.searchsorted(words, at)
+    n_words = np.diff(begin, append=len(words))
+    full = n_words > 0
+    number = np.arange(len(words)) - np.repeat(begin[full], n_words[full])
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[np.frombuffer(text, np.uint8)] * up[: len(text)], dtype=np.uint64)))
-        h = (total[stop] - total[start]) * down[start]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    edge = np.zeros(REACH - 1, np.uint64)
-    best = sliding(np.concatenate((edge, sliding(h, REACH, np.minimum), edge)), REACH, np.maximum)
-    at = np.flatnonzero(best == h)
-    return start[at], stop[at], h[at]
+        h = np.ones(len(at), np.uint64)
+        h[full] = np.add.reduceat(bare * H.POWERS[number & 4095], begin[full])
+        new = np.zeros(len(at), bool)
+        new[np.searchsorted(at, ends[:-1][ends[:-1] < len(buf)])] = True
+        roll = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        first = np.flatnonzero(np.concatenate(([True], new[1:] | ((roll >> np.uint64(33)) % np.uint64(EVERY) == 0))))
+        number = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        whole = H.mixed(np.add.reduceat(H.mixed(h) * H.POWERS[number & 4095], first))
+    start, stop = at[first], np.append(at[first[1:]], len(buf))
+    use = (np.diff(first, append=len(at)) >= LEAST_LINES) & (np.add.reduceat(n_words, first) >= LEAST_WORDS)
+    return start[use], stop[use], whole[use] & np.uint64(2**64 - 2)
 
 
-def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, h, text)`` as a row per candidate or seed: ``doc_id, h, start, stop, chunk`` (``chunk`` is odd for a seed)."""
+def seed_spans(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words at which seeds begin, and the seeds' hashes (odd)."""
+    if len(start) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    n = len(start) - GRAM + 1
+    with np.errstate(over="ignore"):
+        spaced = bare[:-1] + GAPS[buf[stop[:-1]]] * (start[1:] - stop[:-1]).astype(np.uint64)
+        h = sum((spaced[j : j + n] * H.PLACES[j] for j in range(GRAM - 1)), bare[GRAM - 1 :] * H.PLACES[GRAM - 1])
+    h = H.mixed(h) | np.uint64(1)
+    least = sliding(h, REACH, np.minimum)
+    least[doc[: len(least)] != doc[PASSAGE - 1 :]] = 0  # windows lie within one text
+    edge = np.zeros(REACH - 1, np.uint64)
+    best = sliding(np.concatenate((edge, least, edge)), REACH, np.maximum)
+    at = np.flatnonzero(best == h)
+    # where words repeat in turn, so that a seed follows its like, one of them for each REACH words is enough
+    new = np.concatenate(([True], (h[at[1:]] != h[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]]))) if len(at) else np.empty(0, bool)
+    stretch = (at - np.repeat(at[new], np.diff(np.flatnonzero(new), append=len(at)))) // REACH
+    at = at[new | np.concatenate(([False], stretch[1:] != stretch[:-1]))] if len(at) else at
+    return at, h[at]
+
+
+def found_in(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Text number, start, stop, hash, words before and words in each chunk and seed of a column of texts."""
+    buf, ends = H.buffer(column)
+    start, stop, doc = H.word_bounds(buf, ends)
+    bare = H.word_hashes(buf, start)
+    low, high, chunk = chunk_spans(buf, ends, start, bare)
+    seed, h = seed_spans(buf, start, stop, doc, bare)
+    first, last = np.searchsorted(start, low), np.searchsorted(start, high)
+    first, words = np.concatenate((first, seed)), np.concatenate((last - first, np.full(len(seed), GRAM)))
+    low, high = np.concatenate((low, start[seed])), np.concatenate((high, stop[seed + GRAM - 1] if len(seed) else seed))
+    of = np.searchsorted(ends[1:], low, "right")
+    return of, low - ends[:-1][of], high - ends[:-1][of], np.concatenate((chunk, h)), first - np.searchsorted(start, ends[:-1])[of], words
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, t, text)`` as a row per chunk or seed: ``chunk`` (its hash, odd for a seed), ``place``, ``word`` (words before it), ``words`` (in it)."""
+    schema = pa.struct([("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
-            counts = []
-            for text in batch["text"].to_pylist():
-                own = candidates(text)
-                flat = np.array(own, np.int64).reshape(-1, 2)
-                whole = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in own), np.uint64, len(own))
-                start, stop, h = seeds(text)
-                counts.append(len(own) + len(h))
-                out[0].extend((flat[:, 0], start))
-                out[1].extend((flat[:, 1], stop))
-                out[2].extend(((whole & np.uint64(2**64 - 2)).view(np.int64), (h | np.uint64(1)).view(np.int64)))
-            row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["h"].take(row), *[pa.array(np.concatenate(x)) for x in out]], names=["doc_id", "h", "start", "stop", "chunk"])
-
-    return docs.select("doc_id", "h", F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, h long, start long, stop long, chunk long")
-
-
-def after(ours: bytes, first: bytes) -> int:
-    """How many bytes both start with, up to the end of a word of both or of the white space behind it."""
-    n = min(len(ours), len(first))
-    if ours[:n] != first[:n]:
-        n = int((np.frombuffer(ours, np.uint8, n) != np.frombuffer(first, np.uint8, n)).argmax())
-    ends = all(n == len(x) or x[n] in WHITE for x in (ours, first))
-    while n and not ends and ours[n - 1] not in WHITE:
-        n -= 1
-    return n
-
-
-def before(ours: bytes, first: bytes) -> int:
-    """How many bytes both end with, from the start of a word of both on."""
-    n = min(len(ours), len(first))
-    if n and ours[-n:] != first[-n:]:
-        n = int((np.frombuffer(ours, np.uint8)[: -n - 1 : -1] != np.frombuffer(first, np.uint8)[: -n - 1 : -1]).argmax())
-    starts = all(n == len(x) or x[len(x) - n - 1] in WHITE for x in (ours, first))
-    while n and not starts and ours[len(ours) - n] not in WHITE:
-        n -= 1
-    while n and ours[len(ours) - n] in WHITE:
-        n -= 1
-    return n
-
-
-SPANS = "doc_id long, h long, start long, stop long, chunk long, is_first boolean, word long, head binary, bytes binary, tail binary"
-
-
-def surroundings(texts: DataFrame) -> DataFrame:
-    """``texts(doc_id, h, text, spans)`` as ``SPANS``: each span's bytes and the ``REACH`` words before and behind them.
-
-    Neighbours of one passage (same ``run``) give only the bytes between them, and a seed goes unless its passage
-    needs it: those left lie within ``REACH`` words of each other. ``word`` counts the words before the span.
+            for at, part in H.slices(batch.column("text"), len(batch)):
+                of, low, high, chunk, word, words = found_in(part)
+                row, small_int = pa.array(of + at), lambda x: pa.array(x.astype(np.int32))
+                place = pa.StructArray.from_arrays([batch.column("doc_id").take(row), batch.column("t").take(row), small_int(low), small_int(high)], fields=list(schema))
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.view(np.int64)), place, small_int(word), small_int(words)], names=["chunk", "place", "word", "words"])
+
+    return docs.select("doc_id", "t", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"chunk long, place {PLACE}, word int, words int")
+
+
+def thinned(t: int, chunk: np.ndarray, start: np.ndarray, stop: np.ndarray, word: np.ndarray, words: np.ndarray, firsts: list) -> list[dict]:
+    """What a document asks of first occurrences, from its repeated spans.
+
+    A copy of a whole text (hash ``t``) asks for that text. Else spans of one first document at one distance form a run;
+    of a run just those are kept whose surroundings of ``REACH`` words hold all the others and theirs.
     """
+    f_doc, f_t, f_start, f_stop = firsts
+    whole = np.flatnonzero(f_t == t)
+    first = lambda k: {"doc_id": None if f_doc[k] is None else int(f_doc[k]), "t": int(f_t[k]), "start": int(f_start[k]), "stop": int(f_stop[k])}
+    if len(whole):
+        k = whole[np.argmin(start[whole])]
+        return [{"chunk": int(chunk[k]), "whole": True, "first": first(k), "run": 0, "shift": 0, "spans": []}]
+    out, runs = [], {}
+    for k in np.argsort(word, kind="stable").tolist():
+        runs.setdefault((f_doc[k], f_t[k], start[k] - f_start[k]), []).append(k)
+    for run, own in enumerate(runs.values()):
+        own = np.array(own)
+        low, high = word[own] - REACH, word[own] + words[own] + REACH
+        kept, covered, at = [], low[0], 0
+        while at < len(own):  # of the surroundings that overlap what is covered the one that reaches farthest
+            near = at + 1
+            while near < len(own) and low[near] < covered:
+                near += 1
+            kept.append(at + int(np.argmax(high[at:near])))
+            covered, at = high[kept[-1]], kept[-1] + 1
+            while at < len(own) and high[at] <= covered:
+                at += 1
+        flat = np.stack((start[own], stop[own], chunk[own] & 1), 1).astype(np.int64).ravel().tolist()
+        for n, k in enumerate(own[kept].tolist()):
+            out.append({"chunk": int(chunk[k]), "whole": False, "first": first(k), "run": run, "shift": int(start[k] - f_start[k]), "spans": [] if n else flat})
+    return out
+
+
+def windows(firsts: DataFrame) -> DataFrame:
+    """``firsts(text, asked)`` as ``chunk, whole, low, bytes``: a first occurrence with ``REACH`` words around it, or the whole text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("chunk", pa.int64()), ("is_first", pa.bool_()), ("word", pa.int64()), ("head", pa.binary()), ("bytes", pa.binary()), ("tail", pa.binary())])
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for d, h, text, spans in zip(*[batch[n].to_pylist() for n in ("doc_id", "h", "text", "spans")], strict=True):
-                starts, _ = word_bounds(text)
-                edges = np.append(starts, len(text))
-                spans.sort(key=lambda s: (s["start"], s["stop"]))
-                a, b = np.array([s["start"] for s in spans]), np.array([s["stop"] for s in spans])
-                word, behind = np.searchsorted(starts, a), np.searchsorted(starts, b)
-                low = np.minimum(edges[np.maximum(word - REACH, 0)], a)
-                high = np.maximum(edges[np.minimum(behind + REACH, len(starts))], b)
-                low[word <= REACH] = 0
-                runs: dict[int, list[int]] = {}
-                for k, s in enumerate(spans):
-                    if not s["is_first"]:
-                        runs.setdefault(s["run"], []).append(k)
-                skipped = set()
-                for run in runs.values():
-                    p, far = run[0], high[run[0]]
-                    for k, following in zip(run[1:], [*run[2:], None], strict=False):
-                        if following is not None and spans[k]["chunk"] & 1 and a[following] <= far:
-                            skipped.add(k)
-                            continue
-                        if a[k] <= far:
-                            high[p], low[k] = max(b[p], a[k]), min(b[p], a[k])
-                        p, far = k, high[k]
-                for k, s in enumerate(spans):
-                    if k in skipped:
+            out: list[tuple] = []
+            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                buf = np.frombuffer(text, np.uint8)
+                start, stop, _ = H.word_bounds(buf, np.array([0, len(buf)]))
+                for x in asked:
+                    if x["whole"]:
+                        out.append((x["chunk"], True, 0, text))
                         continue
-                    row = (d, h, s["start"], s["stop"], s["chunk"], s["is_first"], int(word[k]), text[low[k] : a[k]], text[a[k] : b[k]], text[b[k] : high[k]])
-                    for x, y in zip(out, row, strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                    a, b = np.searchsorted(start, x["start"]) - REACH, np.searchsorted(stop, x["stop"], "left") + REACH
+                    low = min(int(start[a]), x["start"]) if a > 0 else 0
+                    high = max(int(stop[b]), x["stop"]) if b < len(stop) else len(text)
+                    out.append((x["chunk"], False, low, text[low:high]))
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "whole", "low", "bytes"])
 
-    return texts.mapInArrow(each, SPANS)
+    return firsts.select(F.col("text").cast("binary").alias("text"), "asked").mapInArrow(each, "chunk long, whole boolean, low int, bytes binary")
 
 
-def extended(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a repeated span and ``first_head``, ``first_tail``) with ``low, high`` bytes and ``first_word, last_word`` of the match."""
+def equal_runs(buf: np.ndarray, ours: np.ndarray, low: int, other: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """Ranges of ``buf`` that equal ``other`` (which begins at ``low`` of its text) moved by ``shift``, cut to whole words of both.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            names = ("start", "stop", "word", "head", "bytes", "tail", "first_head", "first_tail")
-            for start, stop, word, head, body, tail, first_head, first_tail in zip(*[batch[n].to_pylist() for n in names], strict=True):
-                left, right = before(head, first_head), after(tail, first_tail)
-                ahead = len(head[len(head) - left :].split())
-                for x, y in zip(out, (start - left, stop + right, word - ahead, word + len((body + tail[:right]).split())), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in ("doc_id", "h", "start", "chunk")], *[pa.array(x, pa.int64()) for x in out]], names=["doc_id", "h", "start", "chunk", "low", "high", "first_word", "last_word"])
-
-    return pairs.mapInArrow(each, "doc_id long, h long, start long, chunk long, low long, high long, first_word long, last_word long")
-
-
-def passages(found: list) -> list[tuple[int, int]]:
-    """Byte ranges to remove, in order and apart, from a document's matches: one for each repeated chunk, else one for the passage."""
-    out: list[tuple[int, int]] = []
-    group: list = []
-
-    def close() -> None:
-        if not group:
-            return
-        low, high = group[0]["low"], max(m["high"] for m in group)
-        cores = sorted({m["start"] for m in group if not m["chunk"] & 1})
-        if cores or max(m["last_word"] for m in group) - group[0]["first_word"] >= PASSAGE:
-            bounds = [low, *cores[1:], high]
-            out.extend(zip(bounds[:-1], bounds[1:], strict=True))
-
-    reach = -1
-    for m in sorted(found, key=lambda m: (m["low"], m["high"])):
-        if m["low"] > reach:
-            close()
-            group = []
-        group.append(m)
-        reach = max(reach, m["high"])
-    close()
+    ``ours`` says which bytes belong to words. Ranges inside ``other`` that are too short for any span are left out.
+    """
+    a, b = max(low + shift, 0), min(low + shift + len(other), len(buf))
+    if a >= b:
+        return []
+    same = buf[a:b] == other[a - shift - low : b - shift - low]
+    step = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+    theirs = ~H.WHITE[other]
+    pairs = step.reshape(-1, 2) + a
+    pairs = pairs[(pairs[:, 1] - pairs[:, 0] >= 2 * LEAST_WORDS - 1) | (pairs[:, 0] == a) | (pairs[:, 1] == b)]
+    inside = lambda kind, k: 0 < k < len(kind) and kind[k - 1] and kind[k]
+    out = []
+    for x, y in pairs.tolist():
+        own = ours[x:y]
+        if inside(ours, x) or inside(theirs, x - shift - low):  # within a word: on to the next
+            gap = np.flatnonzero(~own)
+            x = x + int(gap[0]) if len(gap) else y
+        if y > x and (inside(ours, y) or inside(theirs, y - shift - low)):
+            gap = np.flatnonzero(~ours[x:y])
+            y = x + int(gap[-1]) + 1 if len(gap) else x
+        lead = np.flatnonzero(ours[x:y])
+        if len(lead):
+            out.append((x + int(lead[0]), y))
     return out
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, h, text)``: ``doc_id, h, cuts`` with the byte ranges to remove of each document."""
-    spans = materialize(chunk_hashes(docs))
-    place = F.struct("doc_id", "h", "start")
-    seen = materialize(spans.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk", "first"))
-    run = F.xxhash64("first.doc_id", "first.h", F.col("start") - F.col("first.start"))
-    again = spans.join(seen, "chunk").withColumn("is_first", place == F.col("first")).withColumn("run", run)
-    wanted = again.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "chunk", "is_first", "run")).alias("spans"))
-    named = wanted.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "spans")
-    texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", F.col("text").cast("binary").alias("text"), "spans")
-    cut = materialize(surroundings(texts))
-    one = F.first(F.struct("bytes", "head", "tail"))
-    firsts = cut.where("is_first").groupBy("chunk").agg(one.alias("f")).select("chunk", F.col("f.bytes").alias("original"), F.col("f.head").alias("first_head"), F.col("f.tail").alias("first_tail"))
-    same = cut.where("not is_first").join(firsts, "chunk").where(F.col("bytes") == F.col("original"))
-    matches = extended(same.drop("original", "is_first")).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "chunk", "low", "high", "first_word", "last_word")).alias("found"))
-
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def cuts(text: bytes, whole: bool, asks: list[tuple]) -> list[dict]:
+    """Byte ranges to remove from a text, given what it asked for: ``(run, shift, spans, low, bytes)`` of first occurrences."""
+    if whole:
+        same = asks[0][4] == text and (len(text.split()) >= PASSAGE or any(c & 1 == 0 for c in found_in(pa.array([text], pa.large_binary()))[3].tolist()))
+        return [{"start": 0, "stop": len(text)}] if same else []
+    buf = np.frombuffer(text, np.uint8)
+    ours = ~H.WHITE[buf]
+    found: list[tuple[int, int, bool]] = []
+    for run in {x[0] for x in asks}:
+        merged: list[list[int]] = []
+        for low, high in sorted(r for n, shift, _, low, part in asks if n == run for r in equal_runs(buf, ours, low, np.frombuffer(part, np.uint8), shift)):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        own = np.concatenate([x[2] for x in asks if x[0] == run]).reshape(-1, 3)
+        for low, high in merged:
+            held = own[(own[:, 0] >= low) & (own[:, 1] <= high)]
+            if len(held):
+                found.append((low, high, bool((held[:, 2] == 0).any())))
+    out: list[list] = []
+    for low, high, chunk in sorted(found):
+        if out and low <= out[-1][1]:
+            out[-1] = [out[-1][0], max(out[-1][1], high), out[-1][2] or chunk]
+        else:
+            out.append([low, high, chunk])
+    return [{"start": a, "stop": b} for a, b, chunk in out if chunk or len(text[a:b].split()) >= PASSAGE]
+
+
+def requests(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, t, text)``: ``doc_id, t, asks`` of each document with spans whose first occurrence is elsewhere."""
+    found = materialize(spans(docs))
+    seen = materialize(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("chunk", "first"))
+    again = found.join(seen, "chunk").where(F.col("place") != F.col("first"))
+
+    def each(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[{"start": a, "stop": b} for a, b in passages(list(x))] for x in batch], dtype=object)
+            yield pd.Series([thinned(t, *map(np.asarray, x[:5]), [np.asarray(y) for y in x[5:]]) for t, *x in zip(*batch, strict=True)], dtype=object)
 
-    ranges = F.pandas_udf(each, "array<struct<start:long,stop:long>>")(F.col("found"))
-    return matches.select("doc_id", "h", ranges.alias("cuts")).where(F.size("cuts") > 0)
+    flat = F.struct("chunk", F.col("place.start").alias("start"), F.col("place.stop").alias("stop"), "word", "words", F.col("first.doc_id").cast("string").alias("fd"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), F.col("first.stop").alias("fe"))
+    own = again.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.t").alias("t")).agg(F.collect_set(flat).alias("own"))
+    ask = F.pandas_udf(each, ASK)("t", *[f"own.{c}" for c in ("chunk", "start", "stop", "word", "words", "fd", "ft", "fs", "fe")])
+    asks = materialize(own.select("doc_id", "t", F.explode(ask).alias("ask")).select("doc_id", "t", "ask.*"))
+    wanted = asks.select("chunk", "whole", "first").distinct().groupBy(F.col("first.doc_id").alias("d"), F.col("first.t").alias("g")).agg(F.collect_list(F.struct("chunk", "whole", F.col("first.start").alias("start"), F.col("first.stop").alias("stop"))).alias("asked"))
+    wanted = materialize(wanted)
+    holders = docs.join(small(wanted.select("d", "g"), 100_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("g")), "left_semi").dropDuplicates(["doc_id", "t"])
+    told = materialize(windows(holders.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("g"))).select("text", "asked")))
+    return asks.join(told, ["chunk", "whole"]).groupBy("doc_id", "t").agg(F.collect_list(F.struct("whole", "run", "shift", "spans", "low", "bytes")).alias("asks"))
 
 
-def without(text: bytes, cuts: list) -> str:
+def without(text: bytes, removed: list[dict]) -> str:
     """The text less its cuts."""
     out, at = [], 0
-    for c in cuts:
+    for c in removed:
         out.append(text[at : c["start"]])
         at = c["stop"]
     return b"".join([*out, text[at:]]).decode("utf-8", "replace")
@@ -294,22 +285,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, ``n_chars`` (if there) kept true, and
     ``_vs_cuts``: the byte ranges removed (null if none).
 
-    The first occurrence is that of the least (doc_id, hash of id and text, position), null ids first.
-    Rows with the same id and text are one document: they share a decision and none is
-    the other's repeat. Null and empty texts stay as they are; rows are all kept.
+    The first occurrence is that of the least (doc_id, hash of the text, position), null ids first; a passage may
+    also repeat within one text. Rows with the same id and text are one document: they share a decision and none is
+    the other's repeat. Null and empty texts stay as they are; rows are all kept; an empty table stays empty. Chunks of
+    fewer than ``LEAST_LINES`` lines or ``LEAST_WORDS`` words go only as part of a passage of ``PASSAGE`` words.
     """
     session(docs)
-    marked = docs.withColumn("_vs_h", F.xxhash64("doc_id", "text"))
-    slim = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_vs_h").alias("h"), F.col("text").cast("string").alias("text"))
-    cuts = repeated_chunks(slim).select(F.col("doc_id").alias("_vs_d"), F.col("h").alias("_vs_g"), F.col("cuts").alias("_vs_cuts"))
-    both = marked.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_vs_d")) & (F.col("_vs_h") == F.col("_vs_g")), "left")
-
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, removed in batches:
-            yield pd.Series([None if c is None else without(t, c) for t, c in zip(texts, removed, strict=True)], dtype=object)
-
-    changed = F.pandas_udf(each, "string")(F.when(F.col("_vs_cuts").isNotNull(), F.col("text").cast("binary")), F.col("_vs_cuts"))
-    out = both.withColumn("_vs_text", changed).withColumn("text", F.coalesce("_vs_text", "text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    asks = requests(slim).select(F.col("doc_id").alias("_vs_d"), F.col("t").alias("_vs_g"), F.col("asks").alias("_vs_asks"))
+    both = docs.withColumn("_vs_t", F.xxhash64("text")).join(asks, F.col("doc_id").cast("long").eqNullSafe(F.col("_vs_d")) & (F.col("_vs_t") == F.col("_vs_g")), "left")
+
+    def each(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, whole, *asked in batches:
+            found = [None if t is None else cuts(t, bool(w[0]), list(zip(*x, strict=True))) or None for t, w, *x in zip(texts, whole, *asked, strict=True)]
+            yield pd.DataFrame({"cuts": pd.Series(found, dtype=object), "text": pd.Series([None if c is None else without(t, c) for t, c in zip(texts, found, strict=True)], dtype=object)})
+
+    parts = [F.col(f"_vs_asks.{c}") for c in ("whole", "run", "shift", "spans", "low", "bytes")]
+    changed = F.pandas_udf(each, "cuts array<struct<start:long,stop:long>>, text string")(F.when(F.col("_vs_asks").isNotNull(), F.col("text").cast("binary")), *parts)
+    out = both.withColumn("_vs_out", changed).withColumn("_vs_cuts", F.col("_vs_out.cuts")).withColumn("text", F.coalesce("_vs_out.text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_vs_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns, "_vs_cuts")
