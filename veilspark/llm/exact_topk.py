@@ -51,10 +51,16 @@ def build_tree(ids: np.ndarray, m: np.ndarray, leaf_rows: int = LEAF_ROWS) -> di
 
 
 def exact_matrices(q: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-    """As double where every sum of products is below 2^53 and so exact, else as they are (64-bit integers)."""
+    """As double where every sum of products is below 2^53 and so exact, else as they are (64-bit integers).
+
+    Vectors whose score could pass 2^63 are an error: the result's scores are 64-bit integers.
+    """
     top = lambda m: float(np.abs(m.astype(float)).max(initial=0))
-    if top(q) * max(map(top, others)) * q.shape[1] < 2**52:
+    most = top(q) * max(map(top, others)) * q.shape[1]
+    if most < 2**52:
         return tuple(x.astype(np.float64) for x in (q, *others))
+    if most >= 2**62:
+        raise OverflowError("a score could pass 64 bits; scale the vectors down")
     return (q, *others)
 
 
@@ -109,7 +115,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     score`` (long), ties to the smaller ``vec_id``; a query with fewer candidates gets
     all. A row with the query's own id is no candidate. Rows with null id, null or
     empty vector take no part; rows that share an id count once (the least vector);
-    only vectors of the query's own length are candidates. Scores are 64-bit integers.
+    only vectors of the query's own length are candidates; other columns are dropped. Scores are 64-bit
+    integers; vectors whose scores could reach 2^62 raise an error rather than wrap.
     """
     session(vectors)
     vectors, queries = (x.where("vec_id is not null and size(v) > 0").select("vec_id", "v") for x in (vectors, queries))

@@ -74,5 +74,6 @@ def ranked(hits: DataFrame, k: int, score: str) -> DataFrame:
 def merge(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of two sets of hits per row, best first, ties to the smaller id."""
     s, i = np.concatenate((scores, more), 1), np.concatenate((ids, more_ids), 1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
+    falling = ~s if s.dtype.kind == "i" else -s  # the least integer has no negative
+    order = np.lexsort((i, falling), axis=1)[:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
