@@ -42,12 +42,12 @@ def test_context_raises_confidence(spark):
 
 def test_wallet_checksum(spark):
     df = spark.createDataFrame([("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa",), ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb",), (None,)], "t string")
-    assert [r[0] for r in df.select(V.wallet("t")).collect()] == [True, False, None]
+    assert [r[0] for r in df.select(V.wallet(F.col("t"))).collect()] == [True, False, None]
 
 
 def test_chain_finds_tampering(spark):
     df = spark.range(50).withColumn("s", F.lit(1)).withColumn("x", F.col("id").cast("string"))
-    body = audit.entry_body("id", "x")
+    body = audit.entry_body("id", ["x"])
     chained = audit.mint(df, "s", "id", body)
     assert audit.verify(chained, "s", "id", body).first()["first_bad"] is None
     assert audit.verify(chained.withColumn("x", F.when(F.col("id") == 7, "no").otherwise(F.col("x"))), "s", "id", body).first()["first_bad"] == 7

@@ -6,7 +6,10 @@ from typing import NamedTuple
 
 
 class Pattern(NamedTuple):
-    """One pattern: wire category, expression, template, base confidence, validator and context words."""
+    """One pattern: wire category, expression, template, base confidence, validator and context words.
+
+    ``gate`` is a cheap expression that every text with a match also matches.
+    """
 
     category: str
     regex: str
@@ -15,6 +18,10 @@ class Pattern(NamedTuple):
     validator: str | None = None
     words: tuple[str, ...] = ()
 
+    @property
+    def gate(self) -> str | None:
+        return GATES.get(self.category, "[0-9]")
+
 
 # Patterns in priority order.
 PATTERNS = [
@@ -43,6 +50,9 @@ PATTERNS = [
     Pattern("drivers_license", r"\b[A-Z]\d{7,13}\b", "[LICENSE:****]"),
 ]
 
+#: What all matches of a category hold, where that is not a digit (null: nothing cheap).
+GATES = {"vehicle_vin": "[A-Z0-9]{17}", "email": "@", "url": "(?i)https?://", "jwt_token": "eyJ", "swift_bic": "[A-Z]{6}", "api_key": "(?i)api", "secret_token": "(?i)token|secret|passw|pwd", "mac_address": "[0-9a-fA-F]{2}[:-]", "ip_address": "[0-9.:]"}
+
 # Model label (lower case) to category.
 ALIASES = {
     "person": "person", "organization": "organization", "location": "address", "email": "email", "phone": "phone_number",

@@ -19,48 +19,63 @@ def none(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as ``struct(text, start, end)``, from the lengths of matches and gaps."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), F.char_length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), none(PLACE).alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         begin = s["at"] + p["g"]
         return F.struct((begin + p["n"]).alias("at"), F.array_append(s["out"], F.struct(p["m"].alias("text"), begin.alias("start"), (begin + p["n"]).alias("end"))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none(PLACE))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), F.char_length(m).alias("n")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none(PLACE).alias("out")), step)["out"]
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(none(PLACE))
 
 
-def boosted(text: Column, start: Column, base: Column, words: tuple[str, ...], gain: float = 0.35, floor: float = 0.4, reach: int = 5) -> Column:
-    """Confidence raised when one of ``words`` is among the ``reach`` tokens before a span."""
-    if not words:
-        return base
-    before = F.regexp_extract_all(F.left(text, start), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    near = F.transform(F.slice(before, F.greatest(F.size(before) - (reach - 1), F.lit(1)), F.lit(reach)), F.lower)
-    hit = F.arrays_overlap(near, F.array(*[F.lit(w) for w in words]))
-    return F.when((base < 1) & hit, F.greatest(F.least(base + gain, F.lit(1.0)), F.lit(floor))).otherwise(base)
+def last_tokens(text: Column, start: Column, reach: int, near: int = 256) -> Column:
+    """The last ``reach`` tokens before a position, in lower case.
+
+    The ``near`` characters before it nearly always hold them; only where they do not is the whole prefix cut.
+    """
+    cut = lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    last = lambda t: F.transform(F.slice(t, F.greatest(F.size(t) - (reach - 1), F.lit(1)), F.lit(reach)), F.lower)
+    close = cut(F.substring(text, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near))))
+    return let(close, lambda t: F.when((F.size(t) > reach) | (start <= near), last(t)).otherwise(let(cut(F.left(text, start)), last)))
 
 
-def pattern_spans(text: Column, n: int, p: Pattern) -> Column:
-    """Spans of one pattern with the validator's verdict and the context applied.
+def boosted(text: Column, start: Column, base: Column, words: Column, gain: float = 0.35, floor: float = 0.4, reach: int = 5) -> Column:
+    """Confidence raised when one of ``words`` is among the ``reach`` tokens before a span; sure spans stay as they are."""
+    hit = (base < 1) & (F.size(words) > 0) & F.arrays_overlap(last_tokens(text, start, reach), words)
+    return F.when(hit, F.greatest(F.least(base + gain, F.lit(1.0)), F.lit(floor))).otherwise(base)
 
-    The wallet checksum has no expression; its spans keep their base confidence here.
+
+def matches(text: Column, patterns: list[Pattern], gates: Column, names: dict[str, str]) -> Column:
+    """All matches of all patterns as ``struct(n, text, start, end)``, by pattern.
+
+    A pattern is tried only where the text passes its gate, and its matches are gathered only where there is one.
     """
+    wants = lambda p: gates[names[p.gate]] & text.rlike(p.regex) if p.gate else text.rlike(p.regex)
+    found = F.array(*[F.when(wants(p), F.struct(F.lit(n).alias("n"), F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("f"), F.split(text, p.regex, -1).alias("g"))) for n, p in enumerate(patterns)])
 
-    def span(m: Column) -> Column:
-        verdict = VERDICTS[p.validator](m["text"]) if p.validator in VERDICTS else F.lit(None).cast("boolean")
-        base = F.when(verdict, F.lit(1.0)).otherwise(F.lit(p.base))
-        sure = boosted(text, m["start"], base, p.words)
-        return F.struct(
-            m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), F.lit(n).alias("order"), F.lit(p.category).alias("category"),
-            sure.cast("double").alias("confidence"), F.lit(p.template).alias("template"), F.lit("regex").alias("source"),
-        )
+    def placed(r: Column) -> Column:
+        pairs = F.zip_with(r["f"], F.slice(r["g"], F.lit(1), F.size(r["f"])), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
+        start = F.struct(F.lit(0).alias("at"), none("struct<n:int,text:string,start:int,end:int>").alias("out"))
 
-    found = located(text, p.regex)
-    if p.validator in VERDICTS:
-        found = F.filter(found, lambda m: F.coalesce(VERDICTS[p.validator](m["text"]), F.lit(True)))
-    return F.transform(found, span)
+        def step(s: Column, p: Column) -> Column:
+            begin, end = s["at"] + p["g"], s["at"] + p["g"] + F.char_length(p["m"])
+            return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(r["n"].alias("n"), p["m"].alias("text"), begin.alias("start"), end.alias("end"))).alias("out"))
+
+        return F.aggregate(pairs, start, step)["out"]
+
+    return F.flatten(F.transform(F.filter(found, lambda r: r.isNotNull()), placed))
 
 
 def greedy(spans: Column) -> Column:
@@ -72,9 +87,33 @@ def greedy(spans: Column) -> Column:
 
 
 def detect(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
-    """All patterns over a text: array of spans, none overlapping. Null text has none."""
+    """All patterns over a text: array of spans, none overlapping. Null text has none.
+
+    A validator's verdict drops a match or makes it sure; without one its base confidence may be raised by its context.
+    """
     t = F.coalesce(text, F.lit(""))
-    return greedy(F.concat(*[pattern_spans(t, n, p) for n, p in enumerate(patterns)]))
+    names = {g: f"g{n}" for n, g in enumerate(sorted({p.gate for p in patterns if p.gate}))}
+    known = F.array(*[F.struct(F.lit(p.category).alias("category"), F.lit(p.template).alias("template"), F.lit(float(p.base)).alias("base"), F.array(*[F.lit(w) for w in p.words]).cast("array<string>").alias("words")) for p in patterns])
+
+    def verdict(m: Column) -> Column:
+        said = F.lit(None).cast("boolean")
+        for n, p in enumerate(patterns):
+            if p.validator in VERDICTS:
+                said = F.when(m["n"] == n, VERDICTS[p.validator](m["text"])).otherwise(said)
+        return said
+
+    def span(j: Column) -> Column:
+        of, base = j["of"], F.when(j["ok"], F.lit(1.0)).otherwise(j["of"]["base"])
+        return F.struct(
+            j["m"]["start"].alias("start"), j["m"]["end"].alias("end"), j["m"]["n"].alias("order"), of["category"].alias("category"),
+            boosted(t, j["m"]["start"], base, of["words"]).cast("double").alias("confidence"), of["template"].alias("template"), F.lit("regex").alias("source"),
+        )
+
+    def all_spans(gates: Column) -> Column:
+        judged = F.transform(matches(t, patterns, gates, names), lambda m: F.struct(m.alias("m"), F.get(known, m["n"]).alias("of"), verdict(m).alias("ok")))
+        return greedy(F.transform(F.filter(judged, lambda j: F.coalesce(j["ok"], F.lit(True))), span))
+
+    return let(F.struct(F.lit(True).alias("always"), *[t.rlike(g).alias(n) for g, n in names.items()]), all_spans)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

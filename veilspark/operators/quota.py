@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-OUT = "key long, event_id long, ts timestamp, admitted boolean, retry_after long"
+from pyspark.sql import functions as F
 
 
 def admit(times: list[float], held: deque, limit: int, window: float) -> list[tuple[bool, int]]:
@@ -26,26 +25,21 @@ def admit(times: list[float], held: deque, limit: int, window: float) -> list[tu
 
 
 def rate_limit(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """``requests(key, event_id, ts)`` with ``admitted`` and ``retry_after``, per key by (ts, event_id)."""
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        seconds = (pdf["ts"] - pd.Timestamp(0)).dt.total_seconds()
-        got = admit(list(seconds), deque(), limit, window)
-        return pdf.assign(admitted=[a for a, _ in got], retry_after=[r for _, r in got])
-
-    return requests.select("key", "event_id", "ts").groupBy("key").applyInPandas(each, OUT)
-
-
-def rate_limit_stream(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same on a stream: state per key is the admitted times within the window."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        got = admit(list((rows["ts"] - pd.Timestamp(0)).dt.total_seconds()), held, limit, window)
-        state.update((list(held),))
-        yield rows.assign(admitted=[a for a, _ in got], retry_after=[r for _, r in got])
-
-    return requests.select("key", "event_id", "ts").groupBy("key").applyInPandasWithState(each, OUT, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    """``requests(key, event_id, ts)`` with ``admitted`` and ``retry_after``, per key by (ts, event_id).
+
+    Requests are dealt by key, sorted and read once; of a key only the admitted times of the window
+    are held, ``limit`` at most, so a key of any number of requests needs no memory.
+    """
+    rows = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition("key").sortWithinPartitions("key", "at", "event_id")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, deque()
+        for batch in batches:
+            said = []
+            for key, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if (key,) != last:
+                    last, held = (key,), deque()
+                said += admit([at / 1e6], held, limit, window)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), pa.array([a for a, _ in said], pa.bool_()), pa.array([r for _, r in said], pa.int64())], names=["key", "event_id", "admitted", "retry_after"])
+
+    return rows.mapInArrow(each, f"key {requests.schema['key'].dataType.simpleString()}, event_id long, admitted boolean, retry_after long")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, graph, listing, records, retrieval
+from . import chain, corpus, detection, graph, listing, records, redaction, registry, retrieval, search
 
-MODULES = [detection, graph, listing, records, retrieval]
+MODULES = [detection, chain, corpus, graph, listing, records, redaction, registry, retrieval, search]
 
 
 def flagship(spark, sf_dir):

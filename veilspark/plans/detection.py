@@ -85,16 +85,6 @@ def label_aliases(spark, d):
     return rows.join(F.broadcast(table.withColumnRenamed("label", "l")), F.lower("label") == F.col("l"), "left").select("label", F.coalesce("category", F.concat(F.lit("custom:"), F.col("label"))).alias("category"))
 
 
-def needs_review(spark, d):
-    """Spans below the review threshold with their priority."""
-    e = entities(spark, d).where("confidence < 0.5")
-    return e.groupBy(priority(F.col("confidence")).alias("priority"), "category").agg(F.count("*").alias("n"))
-
-
-def priority(confidence):
-    return F.when(confidence < 0.3, "critical").when(confidence < 0.5, "high").when(confidence < 0.7, "normal").otherwise("low")
-
-
 def merged_model(spark, d):
     """Pattern spans merged with a deterministic stand-in for a model: capitalised words pairs as persons."""
     t = F.col("text")
@@ -132,7 +122,7 @@ def sql_regex(n):
 QUERIES = {
     "d1_category_counts": category_counts, "d1_pattern_counts": pattern_counts, "r1_redacted_documents": redacted, "r1_mask_email": mask_email,
     "r4_remove_email": remove_email, "r13_token_projection": token_projection, "v1_v2_luhn_card": luhn_orders, "v3_iban": iban_orders,
-    "v4_ssn": ssn_orders, "v5_vin": vin_orders, "d4_label_aliases": label_aliases, "q1_q2_needs_review": needs_review,
+    "v4_ssn": ssn_orders, "v5_vin": vin_orders, "d4_label_aliases": label_aliases,
     "d5_merge_model_spans": merged_model, "d12_structured_metadata": structured_metadata, "src5_html_to_text": html_text, "d6_span_validation": span_validation,
 }
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PATTERNS, TAXONOMY
-from . import detection, graph
-
-PHONE = "[+][0-9][0-9 .-]{7,}[0-9]"
+from . import detection, retrieval
 
 
 def r6_phones(spark, d):
-    """Phone numbers as a plus sign and digits, counted."""
-    found = detection.docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0))).alias("p"))
-    return found.groupBy(F.regexp_replace("p", "[^+0-9]", "").alias("phone")).agg(F.count("*").alias("n"))
+    """Phone numbers (made of customer keys, written in two ways) as a plus sign and digits, counted."""
+    k = F.col("c_custkey")
+    number = F.lpad((k % 500 * 7919 % 10000000).cast("string"), 7, "0")
+    written = F.when(k % 2 == 0, F.concat(F.lit("+33 (0)"), number)).otherwise(F.concat(F.lit("+33-0."), F.left(number, F.lit(3)), F.lit(" "), F.right(number, F.lit(4))))
+    p = spark.read.parquet(f"{d}/customer.parquet").select(F.regexp_replace(written, "[^+0-9]", "").alias("phone"))
+    return p.groupBy("phone").agg(F.count("*").alias("n"))
 
 
 def r9_mail_stats(spark, d):
@@ -56,15 +57,15 @@ def k36_tokens(spark, d):
 
 
 def q6_listing(spark, d):
+    """The items of one tenant (a user) with one status (a kind of event)."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.where("user_id % 8 = 3 and event_type = 'click'").select("event_id", "user_id", "event_type")
+    return e.where("user_id = 3 and event_type = 'click'").select("event_id", "user_id", "event_type")
 
 
 def g4_markdown(spark, d):
-    """The glossary's hundred most frequent terms as one Markdown list."""
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "term", "n")))
-    line = F.transform(rows, lambda r: F.concat(F.lit("- **"), r["term"], F.lit("** ("), r["n"].cast("string"), F.lit(")")))
-    return graph.e12_index(spark, d).agg(F.array_join(line, "\n").alias("markdown"))
+    """The glossary as Markdown, one line for each term, in the order of a listing: by count, then by term."""
+    line = F.concat(F.lit("- **"), "term", F.lit("** ("), F.col("n").cast("string"), F.lit(")"))
+    return retrieval.g2_glossary(spark, d).select("term", line.alias("markdown")).orderBy(F.col("n").desc(), "term")
 
 
 def a10_egress(spark, d):
@@ -85,15 +86,16 @@ for _n in (0, 4, 8):
 LABELS = "[" + ", ".join(f"'{x}'" for x in TAXONOMY) + "]"
 
 SQL = {
-    "r6_phone_normalise": f"SELECT regexp_replace(p, '[^+0-9]', '', 'g') AS phone, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{PHONE}')) AS p FROM documents) GROUP BY 1",
+    "r6_phone_normalise": """WITH k AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 500 * 7919 % 10000000 AS VARCHAR), 7, '0') AS n FROM customer)
+        SELECT regexp_replace(CASE WHEN k % 2 = 0 THEN '+33 (0)' || n ELSE '+33-0.' || left(n, 3) || ' ' || right(n, 4) END, '[^+0-9]', '', 'g') AS phone, count(*) AS n FROM k GROUP BY 1""",
     "r9_mail_stats": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{detection.sql_regex(0)}')) AS BIGINT) AS n_email, md5({MASKED}) AS redacted_md5 FROM documents",
     "t3_taxonomy_gate": f"WITH e AS (SELECT coalesce({LABELS}[event_id % {len(TAXONOMY) + 2} + 1], 'unknown') AS label FROM events) SELECT label, list_contains({LABELS}, label) AS accepted, count(*) AS n FROM e GROUP BY 1, 2",
     "k23_update_vectors": "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE) AS first_component, vec_id % 3 = 0 AS revised FROM embeddings",
     "k28_scoped_names": "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN role = 'user' THEN 'c' || conv_id ELSE role || ':c' || conv_id END AS collection FROM conversations",
     "k36_token_merge": f"""WITH b AS ({detection.SQL['r13_token_projection']}), m AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '{detection.sql_regex(0)}', '[EMAIL]', 'g'), '\\[EMAIL\\]')) AS token FROM conversations)
         SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT token, n FROM b UNION ALL SELECT token, 1 FROM m) GROUP BY token""",
-    "q6_review_listing": "SELECT event_id, user_id, event_type FROM events WHERE user_id % 8 = 3 AND event_type = 'click'",
-    "g4_glossary_markdown": f"SELECT string_agg('- **' || term || '** (' || n || ')', chr(10) ORDER BY n DESC, term) AS markdown FROM ({graph.SQL['e12_glossary_index']})",
+    "q6_review_listing": "SELECT event_id, user_id, event_type FROM events WHERE user_id = 3 AND event_type = 'click'",
+    "g4_glossary_markdown": f"SELECT term, '- **' || term || '** (' || n || ')' AS markdown FROM ({retrieval.SQL['g2_glossary']})",
     "a10_egress_entries": """SELECT conv_id, 'llm_egress' AS category, count(*) AS parts, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id
         UNION ALL SELECT conv_id, 'llm_egress.' || role, 1, CAST(coalesce(strlen(text), 0) AS BIGINT) FROM conversations""",
 }

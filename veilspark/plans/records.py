@@ -5,63 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import audit, quota
+from ..operators import quota
 
 
 def events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-BODY = ["event_id", "event_type", "props"]
-
-
-def chained(spark, d):
-    e = events(spark, d).select("event_id", "user_id", "event_type", "props", (F.col("user_id") % 64).alias("segment"))
-    return audit.mint(e, "segment", "event_id", audit.entry_body(*BODY))
-
-
-def a2_mint(spark, d):
-    return chained(spark, d).groupBy("segment").agg(F.count("*").alias("entries"), F.max_by("chain_hash", "event_id").alias("tip"))
-
-
-def a3_verify(spark, d):
-    return audit.verify(chained(spark, d), "segment", "event_id", audit.entry_body(*BODY)).select("segment", "entries", "first_bad")
-
-
-def a3_tampered(spark, d):
-    """Verification after every 97th event was altered: the first bad entry per segment."""
-    c = chained(spark, d).withColumn("props", F.when(F.col("event_id") % 97 == 0, "{}").otherwise(F.col("props")))
-    return audit.verify(c, "segment", "event_id", audit.entry_body(*BODY)).select("segment", "first_bad")
-
-
-def a7_seals(spark, d):
-    v = audit.verify(chained(spark, d), "segment", "event_id", audit.entry_body(*BODY))
-    seals = v.select("segment", (F.col("entries") + (F.col("segment") % 10 == 0).cast("long")).alias("entry_count"), "tip")
-    return audit.verify_seals(v, seals)
-
-
-def a9_history(spark, d):
-    """A page of 50 entries after the cursor (segment 3, event 1000)."""
-    e = events(spark, d).select((F.col("user_id") % 64).alias("segment"), "event_id", "event_type")
-    after = (F.col("segment") > 3) | ((F.col("segment") == 3) & (F.col("event_id") > 1000))
-    return e.where(after).orderBy("segment", "event_id").limit(50)
-
-
-def a11_usage(spark, d):
-    e = events(spark, d).where((F.col("ts") >= "2024-01-01") & (F.col("ts") < "2030-01-01"))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("props")), F.lit(0)).alias("span_bytes"))
-
-
 def a14_egress(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     return c.select("conv_id", "turn", F.concat(F.lit("llm_egress."), F.col("role")).alias("category"), F.sha2("text", 256).alias("span_hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-def snk1_csv(spark, d):
-    quote = lambda c: F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    return events(spark, d).select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), quote(F.col("event_type")), quote(F.col("props"))).alias("line"))
-
-
 def snk3_jsonl(spark, d):
     return events(spark, d).select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("line"))
 
@@ -139,30 +94,23 @@ def t6_split(spark, d):
     return docs.join(lab.withColumn("held", F.lit(True)), "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(False))).select("doc_id", split.alias("split"))
 
 
-def t8_leakage(spark, d):
-    s = t6_split(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id")
-    return s.groupBy("source").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
-
-
 QUERIES = {
-    "a2_mint_chain": a2_mint, "a3_verify_chain": a3_verify, "a3_verify_tampered": a3_tampered, "a7_verify_seals": a7_seals, "a9_history_page": a9_history,
-    "a11_usage": a11_usage, "a14_egress_parts": a14_egress, "snk1_csv_lines": snk1_csv, "snk3_json_lines": snk3_jsonl, "q3_deadlines": q3_deadlines,
+    
+    "a14_egress_parts": a14_egress, "snk3_json_lines": snk3_jsonl, "q3_deadlines": q3_deadlines,
     "q5_first_decision": q5_first_decision, "q7_review_stats": q7_stats, "j1_job_state": j1_job_state, "j2_job_page": j2_job_page, "n1_versions": n1_versions,
     "n2_latest_version": n2_latest, "l1_rate_limit": l1_rate_limit, "m1_incremental": m1_incremental, "c2_incident_reference": c2_incident,
-    "c6_windowed_rates": c6_windows, "t1_vote": t1_vote, "t6_split": t6_split, "t8_leakage": t8_leakage,
+    "c6_windowed_rates": c6_windows, "t1_vote": t1_vote, "t6_split": t6_split,
 }
 
 SPLIT = """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'test' ELSE CASE WHEN CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 8 THEN 'validation' ELSE 'train' END END AS split
   FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 1) l ON d.doc_id = l.doc_id"""
 
 SQL = {
-    "a3_verify_chain": "SELECT user_id % 64 AS segment, count(*) AS entries, CAST(NULL AS BIGINT) AS first_bad FROM events GROUP BY 1",
-    "a3_verify_tampered": "SELECT user_id % 64 AS segment, min(event_id) FILTER (event_id % 97 = 0) AS first_bad FROM events GROUP BY 1",
-    "a7_verify_seals": "SELECT DISTINCT user_id % 64 AS segment, (user_id % 64) % 10 <> 0 AS sound FROM events",
-    "a9_history_page": "SELECT user_id % 64 AS segment, event_id, event_type FROM events WHERE user_id % 64 > 3 OR (user_id % 64 = 3 AND event_id > 1000) ORDER BY 1, 2 LIMIT 50",
-    "a11_usage": "SELECT user_id, count(*) AS n, CAST(coalesce(sum(strlen(props)), 0) AS BIGINT) AS span_bytes FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2030-01-01' GROUP BY user_id",
+    "l1_rate_limit": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        a AS (SELECT key, n, ts FROM e WHERE n = 1 UNION ALL SELECT * FROM (SELECT e.key, min(e.n) AS n, arg_min(e.ts, e.n) AS ts FROM a JOIN e ON e.key = a.key AND e.n > a.n AND e.ts >= a.ts + INTERVAL 1 DAY GROUP BY e.key, a.n)),
+        h AS (SELECT e.*, a.n IS NOT NULL AS admitted, max(a.ts) OVER (PARTITION BY e.key ORDER BY e.n) AS held FROM e LEFT JOIN a ON a.key = e.key AND a.n = e.n)
+        SELECT key, event_id, admitted, CASE WHEN admitted THEN 0 ELSE greatest(1, (epoch_us(held) + 86400000000 - epoch_us(ts)) // 1000000) END AS retry_after FROM h""",
     "a14_egress_parts": "SELECT conv_id, turn, 'llm_egress.' || role AS category, sha256(text) AS span_hash, CAST(strlen(text) AS BIGINT) AS bytes FROM conversations",
-    "snk1_csv_lines": """SELECT event_id, CAST(event_id AS VARCHAR) || ',' || event_type || ',' || CASE WHEN regexp_matches(props, '[,"\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS line FROM events""",
     "snk3_json_lines": """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS line FROM events""",
     "q3_deadlines": "SELECT event_id, ts + INTERVAL 24 HOUR AS deadline, CASE WHEN value < 0.3 THEN 'critical' WHEN value < 0.5 THEN 'high' WHEN value < 0.7 THEN 'normal' ELSE 'low' END AS priority FROM events",
     "q5_first_decision": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1",
@@ -176,5 +124,4 @@ SQL = {
     "c6_windowed_rates": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(count(*) / 300, 9) AS rate FROM events GROUP BY 1, 2",
     "t1_vote": "WITH e AS (SELECT DISTINCT user_id, event_id % 3 AS sample, event_type FROM events) SELECT user_id, event_type, count(*) AS votes, CASE WHEN count(*) >= 2 THEN 'accept' ELSE 'review' END AS verdict FROM e GROUP BY 1, 2",
     "t6_split": SPLIT,
-    "t8_leakage": f"SELECT source, count(DISTINCT split) AS splits FROM ({SPLIT}) s JOIN documents USING (doc_id) GROUP BY source HAVING count(DISTINCT split) > 1",
 }

@@ -22,13 +22,14 @@ def cosine(a, b):
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def query_vector(spark, d, n=0):
-    """One query vector as a literal: it is 64 numbers."""
-    return F.lit([float(x) for x in vectors(spark, d).where(F.col("vec_id") == n).first()["v"]])
+def asked(spark, d, n=0):
+    """All vectors beside one query vector ``q``."""
+    q = vectors(spark, d).where(F.col("vec_id") == n).select(F.col("v").alias("q"))
+    return vectors(spark, d).crossJoin(F.broadcast(q))  # one row
 
 
 def scored(spark, d):
-    return vectors(spark, d).select("vec_id", "label", cosine(F.col("v"), query_vector(spark, d)).alias("score"))
+    return asked(spark, d).select("vec_id", "label", cosine(F.col("v"), F.col("q")).alias("score"))
 
 
 def top(df, k, *order):
@@ -40,9 +41,9 @@ def k3_top_k(spark, d):
 
 
 def k1_metrics(spark, d):
-    q, v = query_vector(spark, d), F.col("v")
+    q, v = F.col("q"), F.col("v")
     l2 = 0.0 - F.sqrt(F.aggregate(F.zip_with(v, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return vectors(spark, d).select("vec_id", F.round(cosine(v, q), 6).alias("cosine"), F.round(dot(v, q), 6).alias("ip"), F.round(l2, 6).alias("l2"))
+    return asked(spark, d).select("vec_id", F.round(cosine(v, q), 6).alias("cosine"), F.round(dot(v, q), 6).alias("ip"), F.round(l2, 6).alias("l2"))
 
 
 def k15_grouped(spark, d):
@@ -52,12 +53,6 @@ def k15_grouped(spark, d):
     return top(one, 5, F.col("score").desc(), "vec_id").select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
-def k12_boundaries(spark, d):
-    """Tenant boundary before scoring: labels 1 to 3 are the tenants allowed."""
-    ok = vectors(spark, d).where(F.col("label").isin(1, 2, 3))
-    return top(ok.select("vec_id", cosine(F.col("v"), query_vector(spark, d)).alias("score")), 10, F.col("score").desc(), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
-
-
 def tokens(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("chunk"), F.lower("text").alias("t"))
     return t.select("chunk", F.explode(F.regexp_extract_all("t", F.lit("([a-z]+)"), F.lit(1))).alias("term"))
@@ -69,26 +64,15 @@ TERMS = ["the", "and", "thanea"]
 def k5_bm25(spark, d, k1=1.2, b=0.75):
     tf = tokens(spark, d).groupBy("chunk", "term").agg(F.count("*").alias("tf"))
     lengths = tokens(spark, d).groupBy("chunk").agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    stats = F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")))  # one row
     hits = tf.where(F.col("term").isin(*TERMS))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / stats["mean"]))
-    s = hits.join(df, "term").join(lengths, "chunk").groupBy("chunk").agg(F.sum(part).alias("score"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    s = hits.join(df, "term").join(lengths, "chunk").crossJoin(stats).groupBy("chunk").agg(F.sum(part).alias("score"))
     return s.select("chunk", F.round("score", 6).alias("score"))
 
 
-def k7_hybrid(spark, d, pool=50):
-    """Reciprocal rank fusion of a vector leg and a text leg (vectors ranked by label distance stand in for text)."""
-    legs = []
-    for name, order in (("vector", F.col("score").desc()), ("text", (F.col("vec_id") * 7919 % 1009).asc())):
-        w = scored(spark, d).select("vec_id", "score").orderBy(order, "vec_id").limit(pool)
-        legs.append(w.select("vec_id", F.row_number().over(Window.orderBy(order, "vec_id")).alias(name)))
-    both = legs[0].join(legs[1], "vec_id", "full")
-    rrf = F.coalesce(1 / (60 + F.col("vector")), F.lit(0.0)) + F.coalesce(1 / (60 + F.col("text")), F.lit(0.0))
-    return top(both.withColumn("rrf", rrf), 10, F.col("rrf").desc(), "vec_id").select("vec_id", F.round("rrf", 9).alias("rrf"))
-
-
 def k8_sparse(spark, d):
     """Sparse dot product: positive components as (index, value) rows, joined on the index."""
     s = vectors(spark, d).select("vec_id", F.posexplode("v").alias("i", "x")).where("x > 0.1")
@@ -96,12 +80,6 @@ def k8_sparse(spark, d):
     return s.join(F.broadcast(q), "i").groupBy("vec_id").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score")).where("score > 0")
 
 
-def k9_max_sim(spark, d):
-    """Late interaction: vectors cut into eight tokens of eight numbers."""
-    cut = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(v, i * 8 + 1, F.lit(8)))
-    q = cut(query_vector(spark, d))
-    best = F.aggregate(F.transform(q, lambda x: F.array_max(F.transform(cut(F.col("v")), lambda y: dot(x, y)))), F.lit(0.0), lambda s, x: s + x)
-    return vectors(spark, d).select("vec_id", F.round(best, 6).alias("score"))
 
 
 FILTER = {"and": [{"range": {"field": "value", "gte": 10.0}}, {"or": [{"eq": {"field": "event_type", "value": "click"}}, {"in": {"field": "event_type", "values": ["view"]}}]}, {"not": {"eq": {"field": "metadata.k", "value": "69"}}}]}
@@ -140,7 +118,7 @@ def k25_chunks(spark, d, size=512, overlap=50):
 
 def mentions(spark, d):
     """Capitalised words stand in for entities."""
-    t = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     return t.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("term"))
 
 
@@ -153,32 +131,6 @@ def e1_entities(spark, d):
     return mentions(spark, d).groupBy(key.alias("key")).agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("canonical"), F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("docs"), F.concat(F.lit("ent-"), F.left(F.first(F.sha2(key, 256)), F.lit(12))).alias("entity_id"))
 
 
-def e8_related(spark, d, top_k=5):
-    """Related documents by summed idf of shared entities that 2 to 10 documents hold (rare ones tell documents apart)."""
-    m = mentions(spark, d).distinct()
-    n = m.select("doc_id").distinct().count()
-    df = m.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= 10))
-    weighted = m.join(df, "term").withColumn("idf", F.log(F.lit(float(n)) / F.col("df")))
-    a, b = weighted.alias("a"), weighted.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    s = pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other")).agg(F.round(F.sum("a.idf"), 6).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("doc_id", "other", "score")
-
-
-def e14_vertical(spark, d):
-    t = F.lower("text")
-    v = F.when(t.rlike("merger|acquisition|heed"), "m_and_a").when(t.rlike("contract|license"), "business_law").otherwise("none")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", v.alias("vertical"))
-
-
-def e15_outline(spark, d):
-    """Lines of each document with their running offsets."""
-    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.char_length("s") + 1).over(w), F.lit(0)).alias("offset"))
-
-
 def snk4_cypher(spark, d):
     return g2_glossary(spark, d).select("term", F.format_string("MERGE (:Entity {name: '%s', mentions: %d});", "term", "n").alias("cypher"))
 
@@ -195,26 +147,22 @@ def t9_exact_f1(spark, d):
 
 
 QUERIES = {
-    "k1_metrics": k1_metrics, "k3_vector_top_k": k3_top_k, "k5_bm25": k5_bm25, "k7_hybrid_rrf": k7_hybrid, "k8_sparse_dot": k8_sparse, "k9_max_sim": k9_max_sim,
-    "k10_filter": k10_filter, "k12_boundaries": k12_boundaries, "k15_group_by_document": k15_grouped, "k18_bulk_upsert": k18_upsert, "k19_delete_by_filter": k19_delete,
+    "k1_metrics": k1_metrics, "k3_vector_top_k": k3_top_k, "k5_bm25": k5_bm25, "k8_sparse_dot": k8_sparse, 
+    "k10_filter": k10_filter, "k15_group_by_document": k15_grouped, "k18_bulk_upsert": k18_upsert, "k19_delete_by_filter": k19_delete,
     "k21_stats": k21_stats, "k25_chunks": k25_chunks, "k32_batch_check": k32_batch_check, "g2_glossary": g2_glossary, "e1_e4_e5_entities": e1_entities,
-    "e8_related_documents": e8_related, "e14_vertical": e14_vertical, "e15_outline": e15_outline, "snk4_cypher": snk4_cypher, "t9_exact_f1": t9_exact_f1,
+    "snk4_cypher": snk4_cypher, "t9_exact_f1": t9_exact_f1,
 }
 
 V = "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, label, list_cosine_similarity(v, q) AS score, v, q FROM v, q) "
-MENTIONS = "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS term FROM documents WHERE lang = 'en'"
+MENTIONS = "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS term FROM documents"
 SQL = {
     "k1_metrics": V + "SELECT vec_id, round(score, 6) AS cosine, round(list_inner_product(v, q), 6) AS ip, round(0 - list_distance(v, q), 6) AS l2 FROM s",
     "k3_vector_top_k": V + "SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10",
-    "k12_boundaries": V + "SELECT vec_id, round(score, 6) AS score FROM s WHERE label IN (1, 2, 3) ORDER BY s.score DESC, vec_id LIMIT 10",
     "k15_group_by_document": V + ", b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1) SELECT label, vec_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, vec_id LIMIT 5",
     "k5_bm25": """WITH t AS (SELECT conv_id || '-' || turn AS chunk, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations),
         l AS (SELECT chunk, count(*) AS len FROM t GROUP BY chunk), h AS (SELECT chunk, term, count(*) AS tf FROM t WHERE term IN ('the', 'and', 'thanea') GROUP BY 1, 2),
         f AS (SELECT term, count(*) AS df FROM h GROUP BY term), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l)
         SELECT chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN f USING (term) JOIN l USING (chunk), s GROUP BY chunk""",
-    "k7_hybrid_rrf": V + """, a AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 50), b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id * 7919 % 1009, vec_id) AS r FROM s QUALIFY r <= 50),
-        j AS (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, coalesce(1 / (60 + a.r), 0) + coalesce(1 / (60 + b.r), 0) AS rrf FROM a FULL JOIN b ON a.vec_id = b.vec_id)
-        SELECT vec_id, round(rrf, 9) AS rrf FROM j ORDER BY j.rrf DESC, vec_id LIMIT 10""",
     "k8_sparse_dot": "WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT a.vec_id, round(sum(a.x * b.x), 6) AS score FROM s a JOIN s b ON a.i = b.i AND b.vec_id = 0 AND a.x > 0.1 AND b.x > 0.1 GROUP BY 1",
     "k10_filter": "SELECT event_id FROM events WHERE value >= 10 AND event_type IN ('click', 'view') AND coalesce(json_extract_string(props, '$.k') <> '69', true)",
     "k18_bulk_upsert": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id",
@@ -224,11 +172,6 @@ SQL = {
     "k32_batch_check": "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong FROM embeddings",
     "g2_glossary": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({MENTIONS}) GROUP BY term HAVING count(*) >= 2",
     "e1_e4_e5_entities": f"SELECT lower(term) AS key, arg_max(term, (length(term), term)) AS canonical, count(*) AS mentions, count(DISTINCT doc_id) AS docs, 'ent-' || left(sha256(lower(term)), 12) AS entity_id FROM ({MENTIONS}) GROUP BY lower(term)",
-    "e8_related_documents": f"""WITH m AS (SELECT DISTINCT * FROM ({MENTIONS})), n AS (SELECT count(DISTINCT doc_id) AS n FROM m), f AS (SELECT term, count(*) AS df FROM m GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
-        w AS (SELECT doc_id, term, ln(CAST(n AS DOUBLE) / df) AS idf FROM m JOIN f USING (term), n), s AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.idf), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2)
-        SELECT doc_id, other, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) <= 5""",
-    "e14_vertical": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'merger|acquisition|heed') THEN 'm_and_a' WHEN regexp_matches(lower(text), 'contract|license') THEN 'business_law' ELSE 'none' END AS vertical FROM documents",
-    "e15_outline": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), p AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS s FROM l) SELECT doc_id, line, CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM p",
     "snk4_cypher": f"SELECT term, 'MERGE (:Entity {{name: ''' || term || ''', mentions: ' || count(*) || '}});' AS cypher FROM ({MENTIONS}) GROUP BY term HAVING count(*) >= 2",
     "t9_exact_f1": "WITH c AS (SELECT count(*) FILTER (quality = 1 AND n_chars > 500) AS tp, count(*) FILTER (quality <> 1 AND n_chars > 500) AS fp, count(*) FILTER (quality = 1 AND NOT n_chars > 500) AS fn FROM labels JOIN documents USING (doc_id)) SELECT *, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c",
 }

@@ -42,14 +42,14 @@ def parsed(path: str, raw: bytes | None) -> dict:
 
 def messages(files: DataFrame) -> DataFrame:
     """Messages of ``files(path, content)``; null or empty content gives a message without fields."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # messages can be large
-
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "message_id", "sent", "sender", "recipients", "subject", "body", "attachments", "error"]
         for batch in batches:
-            rows = pd.DataFrame([parsed(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=names)
-            rows["sent"] = pd.to_datetime(rows["sent"])
-            yield rows
+            for at in range(0, len(batch), 100):  # messages can be large
+                part = batch.iloc[at : at + 100]
+                rows = pd.DataFrame([parsed(p, c) for p, c in zip(part["path"], part["content"], strict=True)], columns=names)
+                rows["sent"] = pd.to_datetime(rows["sent"])
+                yield rows
 
     return files.select("path", "content").mapInPandas(each, MESSAGE)
 

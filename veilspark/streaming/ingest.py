@@ -25,13 +25,15 @@ def documents(spark: SparkSession, path: str, schema: str, files_per_batch: int
 def redact_into(stream: DataFrame, out: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
     """Write each document redacted, once per batch and id, to the folder ``out`` and stop when all is read.
 
-    A batch has a folder of its own that is overwritten if the batch is run again, so a
+    Of rows of one id in a batch the one with the greatest text stays (null least), whatever their order. A batch has a folder of its own that is overwritten if the batch is run again, so a
     lost executor or driver leaves neither gaps nor repeats. Rows with null text are written as empty.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         text = F.coalesce(F.col(text_col), F.lit(""))
-        clean = batch.dropDuplicates([id_col]).withColumn(text_col, S.redact(text, S.detect(text)))
+        others = [c for c in batch.columns if c not in (id_col, text_col)]
+        one = batch.groupBy(id_col).agg(F.max(F.struct(text_col, *others)).alias("_r")).select(id_col, "_r.*").select(*batch.columns)
+        clean = one.withColumn(text_col, S.redact(text, S.detect(text)))
         clean.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -53,25 +55,29 @@ def rates(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes"
 def admitted(events: DataFrame, limit: int, seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:
     """``events(key, event_id, ts)`` with whether each is admitted: at most ``limit`` in any ``seconds``.
 
-    The state of a key is its admitted times within the window, at most ``limit`` of them,
-    and goes once the watermark has passed its last event by a window. Events more than
+    The state of a key is its admitted times within the window and the time that events may come late, and goes
+    once the watermark has passed its last event by a window. Events more than
     ``late`` behind the newest of earlier batches get no verdict.
     """
+    late_seconds = float(pd.Timedelta(late).total_seconds())
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        held, verdicts = list(state.get[0]) if state.exists else [], []
-        at = 0.0
+        held, verdicts = sorted(state.get[0]) if state.exists else [], []
         for at in (t.timestamp() for t in rows["ts"]):
-            held = [x for x in held if at - x < seconds]
-            verdicts.append(len(held) < limit)
-            if verdicts[-1]:
+            # an event that comes late is held against the admitted ones around it, not only those before it
+            around = [x for x in held if abs(at - x) < seconds]
+            full = any(sum(x <= y < x + seconds for y in [*around, at]) > limit for x in [*around, at])
+            verdicts.append(not full)
+            if not full:
                 held.append(at)
-        state.update((held,))
-        state.setTimeoutTimestamp(int((at + seconds) * 1000) + 1)
+        newest = max([*held, *(t.timestamp() for t in rows["ts"])])
+        behind = newest - late_seconds - seconds
+        state.update(([x for x in held if x > behind],))
+        state.setTimeoutTimestamp(int((newest + seconds) * 1000) + 1)
         yield pd.DataFrame({"key": [key[0]] * len(rows), "event_id": rows["event_id"], "admitted": verdicts})
 
     return events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(each, "key long, event_id long, admitted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
