@@ -40,38 +40,47 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(found, placed)).otherwise(none(PLACE))
 
 
-def last_tokens(text: Column, start: Column, reach: int, near: int = 256) -> Column:
-    """The last ``reach`` tokens before a position, in lower case.
+#: Characters before a match that are kept with it; they nearly always hold the tokens that count.
+NEAR = 256
 
-    The ``near`` characters before it nearly always hold them; only where they do not is the whole prefix cut.
+
+def last_tokens(text: Column, start: Column, before: Column, reach: int) -> Column:
+    """The last ``reach`` tokens before a position, in lower case, from the ``NEAR`` characters before it.
+
+    Only where those hold too few tokens is the whole prefix of the text cut.
     """
     cut = lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     last = lambda t: F.transform(F.slice(t, F.greatest(F.size(t) - (reach - 1), F.lit(1)), F.lit(reach)), F.lower)
-    close = cut(F.substring(text, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near))))
-    return let(close, lambda t: F.when((F.size(t) > reach) | (start <= near), last(t)).otherwise(let(cut(F.left(text, start)), last)))
+    return let(cut(before), lambda t: F.when((F.size(t) > reach) | (start <= NEAR), last(t)).otherwise(let(cut(F.left(text, start)), last)))
 
 
-def boosted(text: Column, start: Column, base: Column, words: Column, gain: float = 0.35, floor: float = 0.4, reach: int = 5) -> Column:
+def boosted(text: Column, start: Column, before: Column, base: Column, words: Column, gain: float = 0.35, floor: float = 0.4, reach: int = 5) -> Column:
     """Confidence raised when one of ``words`` is among the ``reach`` tokens before a span; sure spans stay as they are."""
-    hit = (base < 1) & (F.size(words) > 0) & F.arrays_overlap(last_tokens(text, start, reach), words)
+    hit = (base < 1) & (F.size(words) > 0) & F.arrays_overlap(last_tokens(text, start, before, reach), words)
     return F.when(hit, F.greatest(F.least(base + gain, F.lit(1.0)), F.lit(floor))).otherwise(base)
 
 
 def matches(text: Column, patterns: list[Pattern], gates: Column, names: dict[str, str]) -> Column:
-    """All matches of all patterns as ``struct(n, text, start, end)``, by pattern.
+    """All matches of all patterns as ``struct(n, text, start, end, before)``, by pattern.
+
+    ``before`` holds the ``NEAR`` characters before a match of a pattern that is not sure by itself.
 
     A pattern is tried only where the text passes its gate, and its matches are gathered only where there is one.
     """
+    unsure = [n for n, p in enumerate(patterns) if p.base < 1 and p.words]
     wants = lambda p: gates[names[p.gate]] & text.rlike(p.regex) if p.gate else text.rlike(p.regex)
     found = F.array(*[F.when(wants(p), F.struct(F.lit(n).alias("n"), F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("f"), F.split(text, p.regex, -1).alias("g"))) for n, p in enumerate(patterns)])
 
     def placed(r: Column) -> Column:
-        pairs = F.zip_with(r["f"], F.slice(r["g"], F.lit(1), F.size(r["f"])), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-        start = F.struct(F.lit(0).alias("at"), none("struct<n:int,text:string,start:int,end:int>").alias("out"))
+        pairs = F.zip_with(r["f"], F.slice(r["g"], F.lit(1), F.size(r["f"])), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), g.alias("gap")))
+        keeps = r["n"].isin(unsure) if unsure else F.lit(False)
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("seen"), none("struct<n:int,text:string,start:int,end:int,before:string>").alias("out"))
 
         def step(s: Column, p: Column) -> Column:
             begin, end = s["at"] + p["g"], s["at"] + p["g"] + F.char_length(p["m"])
-            return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(r["n"].alias("n"), p["m"].alias("text"), begin.alias("start"), end.alias("end"))).alias("out"))
+            before = F.when(keeps, F.right(F.concat(s["seen"], p["gap"]), F.lit(NEAR))).otherwise(F.lit(""))
+            match = F.struct(r["n"].alias("n"), p["m"].alias("text"), begin.alias("start"), end.alias("end"), before.alias("before"))
+            return F.struct(end.alias("at"), F.when(keeps, F.right(F.concat(before, p["m"]), F.lit(NEAR))).otherwise(F.lit("")).alias("seen"), F.array_append(s["out"], match).alias("out"))
 
         return F.aggregate(pairs, start, step)["out"]
 
@@ -106,7 +115,7 @@ def detect(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
         of, base = j["of"], F.when(j["ok"], F.lit(1.0)).otherwise(j["of"]["base"])
         return F.struct(
             j["m"]["start"].alias("start"), j["m"]["end"].alias("end"), j["m"]["n"].alias("order"), of["category"].alias("category"),
-            boosted(t, j["m"]["start"], base, of["words"]).cast("double").alias("confidence"), of["template"].alias("template"), F.lit("regex").alias("source"),
+            boosted(t, j["m"]["start"], j["m"]["before"], base, of["words"]).cast("double").alias("confidence"), of["template"].alias("template"), F.lit("regex").alias("source"),
         )
 
     def all_spans(gates: Column) -> Column:
@@ -146,22 +155,40 @@ def merge(found: Column, model: Column, priority: str = "regex_first", threshold
     return F.aggregate(F.array_sort(F.concat(found, model)), none(), step)
 
 
+#: Characters of a block of text: cutting from a block is cheap, from a long text it means reading up to the place.
+BLOCK = 4096
+
+
+def cutter(text: Column, body) -> Column:
+    """``body(cut)`` where ``cut(start, end)`` gives that part of the text, reading no more than two blocks besides."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(BLOCK))
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        many = F.floor(F.greatest(end - 1, start) / BLOCK).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(blocks, first + 1, many), ""), start - first * BLOCK + 1, end - start)
+
+    return let(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(BLOCK))), lambda blocks: body(lambda a, b: part(blocks, a, b)))
+
+
 def splice(text: Column, spans: Column, replacement) -> Column:
-    """The text with each span replaced by ``replacement(span)``; spans ascend and do not overlap."""
-    valid = F.filter(spans, lambda s: (s["start"] < s["end"]) & (s["end"] <= F.char_length(text)))
+    """The text with each span replaced by ``replacement(span, own)``, ``own`` being its text; spans ascend and do not overlap."""
+    valid = let(F.char_length(text), lambda n: F.filter(spans, lambda s: (s["start"] < s["end"]) & (s["end"] <= n)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    gap = lambda a, b: F.substring(text, a + 1, b - a)
-    done = F.aggregate(valid, start, lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(gap(s["at"], x["start"]), replacement(x))).alias("out")))
-    return F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1))
+
+    def spliced(cut) -> Column:
+        step = lambda s, x: F.struct(x["end"].alias("at"), F.array_append(s["out"], F.concat(cut(s["at"], x["start"]), replacement(x, cut(x["start"], x["end"])))).alias("out"))
+        return let(F.aggregate(valid, start, step), lambda done: F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1)))
+
+    return F.when(F.size(spans) > 0, cutter(text, spliced)).otherwise(text)
 
 
 def redact(text: Column, spans: Column, mode: str = "mask", template: str | None = None) -> Column:
     """Mask, hash (first 8 hex digits of SHA-256), remove or a custom ``{{ENTITY}}``/``{{TEXT}}`` template."""
-    own = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     modes = {
-        "mask": lambda s: s["template"],
-        "hash": lambda s: F.left(F.sha2(own(s), 256), F.lit(8)),
-        "remove": lambda s: F.lit(""),
-        "custom": lambda s: F.replace(F.replace(F.lit(template), F.lit("{{ENTITY}}"), s["category"]), F.lit("{{TEXT}}"), own(s)) if template else F.concat(F.lit("["), F.upper(s["category"]), F.lit("]")),
+        "mask": lambda s, own: s["template"],
+        "hash": lambda s, own: F.left(F.sha2(own, 256), F.lit(8)),
+        "remove": lambda s, own: F.lit(""),
+        "custom": lambda s, own: F.replace(F.replace(F.lit(template), F.lit("{{ENTITY}}"), s["category"]), F.lit("{{TEXT}}"), own) if template else F.concat(F.lit("["), F.upper(s["category"]), F.lit("]")),
     }
     return splice(text, spans, modes[mode])

@@ -116,7 +116,7 @@ def annotated(spark, d):
 
     def spans(found: Column) -> Column:
         free = F.filter(e, lambda x: ~F.exists(found, lambda p: (x["start"] < p["end"]) & (p["start"] < x["end"])))
-        return S.splice(F.col("text"), F.array_sort(F.concat(found, free)), lambda s: s["template"])
+        return S.splice(F.col("text"), F.array_sort(F.concat(found, free)), lambda s, own: s["template"])
 
     return documents(spark, d).select("doc_id", F.md5(S.let(f, spans)).alias("annotated_md5"))
 
