@@ -4,8 +4,8 @@ All of it is SQL expressions. Pattern matches come with their positions from the
 lengths of matches and of the gaps between them. For entropy, runs of a class's
 characters are candidates; a window slides over each, its character counts change by
 one in and one out, and the entropy follows from the change of sum(c log2 c) alone.
-Windows at or above the class's threshold become one span, unless the allow-list
-knows the candidate or a pattern's span holds it already.
+Overlapping windows at or above the class's threshold become one span, unless the allow-list
+knows the candidate; a span that a pattern's match holds already adds nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ CLASSES = [
 # Candidates that are no secrets, as patterns over the whole candidate.
 ALLOWED = [
     r"[0-9]+",  # numbers
-    r"[^0-9]+",  # words and paths without a digit
+    r"[/_=+-]*[A-Z]?[a-z]*([/_=+-]+[A-Z]?[a-z]*)*",  # words and paths of words
+    r"[A-Z/_=+-]+",  # words in capitals
     r"(?i).*(example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh).*",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
     r"[0-9/_=+-]+",  # dates and rules
@@ -52,28 +53,33 @@ def located(found: Column, gaps: Column) -> Column:
 
 
 def hot_windows(candidate: Column, alphabet: str, threshold: float, window: int = WINDOW) -> Column:
-    """``struct(first, last)``: starts (from 0) of the first and last window whose entropy reaches the threshold, or -1."""
+    """``struct(a, b)`` of each run of overlapping windows whose entropy reaches the threshold: start (from 0) and end.
+
+    The state holds the window's counts as one character per symbol of the alphabet and
+    the sum of c log2 c; a step writes two of the characters and adds two differences.
+    """
     table = F.array(*[F.lit(x * math.log2(x) if x else 0.0) for x in range(window + 2)])
     f = lambda n: F.element_at(table, n + 1)
     code = lambda i: F.instr(F.lit(alphabet), F.substring(candidate, i, F.lit(1)))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("c"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-    )
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - 65
+    put = lambda counts, at, n: F.overlay(counts, F.char(n + 65), at, F.lit(1))
+    start = F.struct(F.lit("A" * len(alphabet)).alias("c"), F.lit(0.0).alias("s"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
     def enter(s: Column, i: Column) -> Column:
         into, out = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(0))
-        gain = f(F.element_at(s["c"], into) + 1) - f(F.element_at(s["c"], into))
-        loss = F.when(out > 0, f(F.element_at(s["c"], F.greatest(out, F.lit(1)))) - f(F.greatest(F.element_at(s["c"], F.greatest(out, F.lit(1))) - 1, F.lit(0)))).otherwise(0.0)
-        total = F.when(into == out, s["s"]).otherwise(s["s"] + gain - loss)
-        counts = F.transform(s["c"], lambda n, k: n + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
+        same = into == out
+        n_in, n_out = count(s["c"], into), count(s["c"], out)
+        total = F.when(same, s["s"]).otherwise(s["s"] + f(n_in + 1) - f(n_in) - F.when(out > 0, f(n_out) - f(n_out - 1)).otherwise(0.0))
+        fewer = F.when(out > 0, put(s["c"], out, n_out - 1)).otherwise(s["c"])
+        counts = F.when(same, s["c"]).otherwise(put(fewer, into, n_in + 1))
         hot = (i >= window) & (math.log2(window) - total / window >= threshold - 1e-9)
-        begin = i - window
-        return F.struct(
-            counts.alias("c"), total.alias("s"),
-            F.when(hot & (s["first"] < 0), begin).otherwise(s["first"]).alias("first"), F.when(hot, begin).otherwise(s["last"]).alias("last"),
-        )
+        begin, last = i - window, F.try_element_at(s["out"], F.lit(-1))
+        joins = F.coalesce(last["b"] >= begin, F.lit(False))
+        grown = F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), i.alias("b"))))
+        more = F.when(joins, grown).otherwise(F.array_append(s["out"], F.struct(begin.alias("a"), i.alias("b"))))
+        return F.struct(counts.alias("c"), total.alias("s"), F.when(hot, more).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, enter, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, enter, lambda s: s["out"])
 
 
 def span(kind: str, order: int, start: Column, end: Column) -> Column:
@@ -85,11 +91,12 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", allowed: list[str] = ALLOWED) -> DataFrame:
-    """``docs`` with ``base`` and ``added``: arrays of ``struct(start, order, end, kind)``.
+    """``docs`` with ``base``, ``hot`` and ``added``: arrays of ``struct(start, order, end, kind)``.
 
-    Offsets are code points, end exclusive. ``base`` holds the pattern matches, ``added``
-    the entropy spans; both by start. Null and empty texts have none; rows, repeated ones
-    included, are kept as they are. ``docs`` may have any columns but those returned here.
+    Offsets are code points, end exclusive. ``base`` holds the pattern matches, ``hot`` all
+    entropy spans and ``added`` those of them that no pattern match holds; all by start, ties in the order of
+    kinds. Null and empty texts have none; whole texts of any length are scanned in one pass; rows, repeated ones
+    included, are kept as they are; an empty table stays empty. ``docs`` may have any columns but those returned here.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | {k: p for k, _, p, _ in CLASSES}
@@ -104,8 +111,9 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: list[str] = ALLOWED)
     base = F.array_sort(F.concat(*[spans_of(c, k, n) for n, (k, c) in enumerate(kinds)]))
     based = placed.select(*docs.columns, *[f"_p_{k}" for k, *_ in CLASSES], base.alias("base"))
     added = [entropy_spans(F.col(f"_p_{k}"), k, 3 + n, alphabet, least, allowed) for n, (k, alphabet, _, least) in enumerate(CLASSES)]
-    fresh = F.filter(F.concat(*added), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return based.select(*docs.columns, "base", F.array_sort(fresh).alias("added"))
+    hot = based.select(*docs.columns, "base", F.array_sort(F.concat(*added)).alias("hot"))
+    fresh = F.filter("hot", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return hot.select(*docs.columns, "base", "hot", fresh.alias("added"))
 
 
 def spans_of(found: Column, kind: str, order: int) -> Column:
@@ -117,13 +125,12 @@ def entropy_spans(found: Column, kind: str, order: int, alphabet: str, threshold
     kept = found
     for pattern in allowed:
         kept = F.filter(kept, lambda m: ~m["text"].rlike(f"^(?:{pattern})$"))  # noqa: B023
-    hot = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), hot_windows(m["text"], alphabet, threshold).alias("w")))
-    hot = F.filter(hot, lambda m: m["w"]["first"] >= 0)
-    return F.transform(hot, lambda m: span(kind, order, m["start"] + m["w"]["first"], m["start"] + m["w"]["last"] + WINDOW))
+    hot = F.transform(kept, lambda m: F.transform(hot_windows(m["text"], alphabet, threshold), lambda w: span(kind, order, m["start"] + w["a"], m["start"] + w["b"])))
+    return F.flatten(hot)
 
 
 def op7(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"), joined(F.col("hot")).alias("entropy_spans"))
