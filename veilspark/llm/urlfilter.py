@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS, GRAMS, STEPS, RATE, RIDGE = 512, (3, 4), 60, 4.0, 0.001
+BUCKETS, GRAMS, STEPS, RATE, RIDGE = 2048, (3, 4), 60, 4.0, 0.001
 MOST_LABELLED = 1000
 
 # The rules (host, path, verdict).
@@ -23,29 +23,84 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-# The labelled URLs (1: block).
-LABELLED = [
-    ("https://spam-farm.example.org/en/12?ref=x", 1),
-    ("http://spam-farm.example.net/en/97", 1),
-    ("https://casino-bonus.example.org/win/free-spins", 1),
-    ("http://cheap-pills.example.net/buy-now/order", 1),
-    ("https://free-casino.example.org/bonus", 1),
-    ("http://click-farm.example.org/win/prize", 1),
-    ("https://adult-chat.example.org/xxx/live", 1),
-    ("https://loan-offers.example.net/buy-now/cash", 1),
-    ("https://spam-links.example.org/de/44", 1),
-    ("http://warez-download.example.org/crack/keygen", 1),
-    ("https://blog.example.org/en/853/", 0),
-    ("https://m.example.net/en/25#top", 0),
-    ("http://www.example.org/de/39547.html", 0),
-    ("https://news.example.org/en/474.html", 0),
-    ("https://library.example.org/books/history", 0),
-    ("https://docs.example.net/guide/install", 0),
-    ("https://example.net/en/12213?utm_source=feed", 0),
-    ("http://example.org/fr/825?page=2", 0),
-    ("https://university.example.org/research/paper", 0),
-    ("https://museum.example.net/de/exhibits", 0),
-]
+# The labelled URLs of training (blocked ones, then allowed ones).
+BLOCKED = """
+https://casino-bonus.example.org/win/free-spins
+http://royal-casino.example.net/slots/jackpot
+https://free-casino.example.org/bonus
+http://online-poker.example.org/deposit
+https://sports-bets.example.net/odds/today
+http://bet-now.example.org/free-bets
+https://lottery-win.example.net/claim/prize
+http://click-farm.example.org/win/prize
+https://cheap-pills.example.org/buy-now/order
+http://discount-pills.example.net/no-prescription
+https://pharma-deals.example.org/viagra/cheap
+http://replica-watches.example.net/buy-now
+https://loan-offers.example.net/buy-now/cash
+http://payday-loans.example.org/apply/fast-cash
+https://crypto-double.example.net/invest/profit
+http://adult-chat.example.org/xxx/live
+https://adult-video.example.net/xxx/free
+http://xxx-cams.example.org/live
+https://hot-dating.example.net/adult/meet
+http://spam-links.example.org/de/44
+https://link-farm.example.net/seo/backlinks
+http://spam-hub.example.org/en/12?ref=x
+https://spam-farm.example.org/en/97
+http://seo-backlinks.example.net/cheap
+https://ads-click.example.org/track/redirect
+http://ad-tracker.example.net/click?id=5
+https://popup-ads.example.org/banner
+http://track-ads.example.net/pixel
+https://warez-download.example.org/crack/keygen
+http://free-keygen.example.net/serial
+https://torrent-crack.example.org/full-download
+http://free-followers.example.net/get-likes
+https://get-rich.example.org/easy-money
+http://miracle-diet.example.net/lose-weight-fast
+https://win-iphone.example.org/free-gift
+http://free-gift-cards.example.net/claim
+"""
+ALLOWED = """
+https://blog.example.org/en/853/
+https://m.example.net/en/25#top
+http://www.example.org/de/39547.html
+https://news.example.org/en/474.html
+https://library.example.org/books/history
+https://docs.example.net/guide/install
+https://example.net/en/12213?utm_source=feed
+http://example.org/fr/825?page=2
+https://university.example.org/research/paper
+https://museum.example.net/de/exhibits
+https://www.thorand.example.net/en/310.html
+http://blog.reanth.example.org/de/7712/
+https://m.whither.example.net/en/44?page=1&ref=x
+http://ationest.example.org/es/9120#top
+https://www.bleared.example.net/de/118
+http://northern.example.org/en/61
+https://weather.example.net/en/forecast
+http://recipes.example.org/soup/tomato
+https://gardening.example.net/roses/pruning
+http://railway.example.org/timetable/north
+https://theatre.example.net/tickets/season
+http://school.example.org/calendar
+https://hospital.example.net/visiting-hours
+http://city-council.example.org/minutes/2019
+https://parks.example.net/trails/map
+http://astronomy.example.org/planets/mars
+https://chess-club.example.net/lessons
+http://history-society.example.org/archive/letters
+https://open-source.example.net/project/readme
+http://language-learning.example.org/grammar/verbs
+https://bird-watching.example.net/species
+http://cooking-school.example.org/bread
+https://maps.example.net/en/202?utm_source=feed
+http://encyclopedia.example.org/wiki/river
+https://trusted-books.example.net/catalogue
+http://adventure-travel.example.org/islands/winter
+"""
+LABELLED = [(url, label) for urls, label in ((BLOCKED, 1), (ALLOWED, 0)) for url in urls.split()]
 
 
 def host_of(url: Column) -> Column:
@@ -61,11 +116,11 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits as ``struct(rule, verdict)``, null if none."""
-    found = None
+    found = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for h, p, verdict in sorted(rules, key=lambda r: -len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        found = F.when(fits, value) if found is None else found.when(fits, value)
+        found = found.when(fits, value)
     return found
 
 
@@ -133,8 +188,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, p_block`` of every row of ``pages(page_id, url)``.
 
     The verdict is the longest fitting rule's, else block where the regression says more
-    than one half. Null or malformed urls have empty host and path and are judged by
-    the regression; repeated rows and null ids are kept.
+    than one half (exactly one half: allow). Null, empty or malformed urls have empty host and path and are
+    judged by the regression; urls of any length are judged whole; repeated rows and null ids are kept, an empty
+    table stays empty, other columns are dropped. Rules of one length that fit the same url stand in the order given.
     """
     weights = F.array(*[F.lit(w) for w in train(labelled)])
     url = F.col("url").cast("string")
