@@ -28,7 +28,7 @@ LABELLED_ROWS = 20_000
 ROUNDS, SURE, PSEUDO_WEIGHT, RIDGE = 3, 0.95, 0.25, 1.0
 HASHED = 24
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
-CONTENT, META = 14 + HASHED, 12 + 8 + 16
+CONTENT, META = 14 + HASHED, 11 + 8 + 16
 
 
 def content_features(text: bytes) -> list[float]:
@@ -56,11 +56,11 @@ def meta_features(text: bytes, lang: str | None, source: str | None, n_chars: fl
     sizes = [len(x) for x in rows]
     n = max(1, len(text))
     n_chars = n_chars if n_chars == n_chars and n_chars is not None else 0.0
-    pipes, marks = text.count(b" | "), text.count(b"!! ") + text.count(b"## ") + text.count(b"$$ ") + text.count(b"%% ")
+    ended = sum(x.rstrip().endswith((b".", b"!", b"?", b":", b'"')) for x in rows)
     stats = [
         1.0, math.log1p(max(0.0, n_chars)) / 10, math.log1p(len(rows)) / 5, math.log1p(max(sizes)) / 10, math.log1p(n / len(rows)) / 10,
         sum(s < 40 for s in sizes) / len(rows), 1 - len(set(rows)) / len(rows), float(len(text) == 0),
-        math.sqrt(pipes / n), math.sqrt(marks / n), min(4.0, len(text) / max(1.0, n_chars)) / 4, math.sqrt(text.count(b"http") / n),
+        ended / len(rows), min(4.0, len(text) / max(1.0, n_chars)) / 4, math.sqrt(text.count(b"http") / n),
     ]
     langs, sources = [0.0] * 8, [0.0] * 16
     langs[crc32(repr(lang).encode()) % 8] = 1.0
@@ -104,7 +104,7 @@ def views(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def round_sums(table: DataFrame, models: list[np.ndarray]) -> list[np.ndarray]:
-    """Newton sums of both views over all rows of ``table(x, y)``: labelled rows, and rows of which the other view is sure."""
+    """Newton sums of both views over all rows of ``table(x, y)``: rows with a label, and rows of which the other view is sure."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = [np.zeros(len(w) * (len(w) + 1)) for w in models]
@@ -131,26 +131,28 @@ def round_sums(table: DataFrame, models: list[np.ndarray]) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> dict:
     """Weights of the two views and of their combination, from all of ``docs`` and ``labels(doc_id, quality)``.
 
-    Without labels of both kinds nothing can be learned: all documents are kept.
+    About ``labelled_rows`` labelled rows, picked by a hash of the id, are used: two quarters
+    calibrate the views and fit their combination, the rest train; labelled rows that are not picked
+    take no part in training. Of several labels of a document the least counts. Without labels of both
+    kinds nothing can be learned: all documents are kept.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_vs_d")).agg(F.min("quality").cast("double").alias("y"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(docs).alias("x"))
-    table = materialize(own.join(known, F.col("doc_id") == F.col("_vs_d"), "left").select("doc_id", "x", "y"))
-    n = table.where("y is not null").count()
-    picked = table.where("y is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < labelled_rows)
-    sample = picked.limit(2 * labelled_rows).toPandas().sort_values("doc_id", kind="stable")
-    y = sample["y"].to_numpy(float)
-    if len(np.unique(y)) < 2:
+    n = known.count()
+    picked = F.pmod(F.xxhash64("_vs_d"), F.lit(max(n, 1))) < labelled_rows
+    quarter = F.pmod(F.xxhash64(F.lit("quarter"), "_vs_d"), F.lit(4))
+    role = F.when(F.col("_vs_d").isNull(), "open").when(~picked, "left").when(quarter == 0, "platt").when(quarter == 1, "both").otherwise("train")
+    table = materialize(own.join(known, F.col("doc_id") == F.col("_vs_d"), "left").select("doc_id", "x", "y", role.alias("role")))
+    sample = table.where("role in ('platt', 'both', 'train')").limit(2 * labelled_rows).toPandas().sort_values("doc_id", kind="stable")
+    rows = {r: (np.stack(g["x"].to_numpy()).astype(float), g["y"].to_numpy(float)) for r, g in sample.groupby("role")}
+    if any(len(np.unique(rows[r][1] if r in rows else [])) < 2 for r in ("platt", "both", "train")):
         return {"content": [0.0] * CONTENT, "meta": [0.0] * META, "both": [10.0, 0.0, 0.0]}
-    x = np.stack(sample["x"].to_numpy()).astype(float)
-    held = np.arange(len(y)) % 4 == 0  # calibration rows
-    models = [fit(v[~held], y[~held]) for v in views(x)]
+    models = [fit(v, rows["train"][1]) for v in views(rows["train"][0])]
     for _ in range(ROUNDS):
-        models = [newton_step(s, w) for s, w in zip(round_sums(table.select("x", "y"), models), models, strict=True)]
-    odds = np.stack([np.clip(v @ w, -12, 12) for v, w in zip(views(x), models, strict=True)], 1)
-    platt = [fit(np.stack((np.ones(held.sum()), odds[held, k]), 1), y[held]) for k in (0, 1)]
-    calibrated = np.stack([c[0] + c[1] * odds[:, k] for k, c in enumerate(platt)], 1)
-    both = fit(np.concatenate((np.ones((held.sum(), 1)), calibrated[held]), 1), y[held])
+        models = [newton_step(s, w) for s, w in zip(round_sums(table.where("role in ('open', 'train')").select("x", "y"), models), models, strict=True)]
+    odds = lambda r: [np.clip(v @ w, -12, 12) for v, w in zip(views(rows[r][0]), models, strict=True)]
+    platt = [fit(np.stack((np.ones(len(o)), o), 1), rows["platt"][1]) for o in odds("platt")]
+    both = fit(np.stack((np.ones(len(rows["both"][1])), *[c[0] + c[1] * o for c, o in zip(platt, odds("both"), strict=True)]), 1), rows["both"][1])
     return {"content": models[0].tolist(), "meta": models[1].tolist(), "platt": [c.tolist() for c in platt], "both": both.tolist()}
 
 
@@ -169,7 +171,9 @@ def score_columns(docs: DataFrame, model: dict) -> tuple[Column, Column, Column]
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``_vs_content, _vs_meta, _vs_quality`` for every row.
 
-    Null texts, languages, sources and lengths count as empty values; repeated rows score alike.
+    Null texts, languages, sources and lengths count as empty values; repeated rows score alike; whole texts are
+    read, whatever their length; a probability of exactly one half keeps. An empty table stays empty. Columns of
+    ``docs`` other than those that a view reads pass through, so none of their names can clash but ``_vs_*``.
     """
     content, meta, both = score_columns(docs, model)
     marked = docs.withColumn("_vs_x", features(docs))
