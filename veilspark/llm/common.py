@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,17 +20,23 @@ ARROW_ROWS = 1000
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of a frame, with Arrow batches short enough for long texts."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """The session of a frame; Arrow batches of more than ``ARROW_ROWS`` rows, too many for long texts, are made shorter."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, on a single machine only, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a single machine, as in tests
-        base = _OWN.setdefault("dir", "") or _OWN.update(dir=tempfile.mkdtemp(prefix="veilspark-")) or _OWN["dir"]
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="veilspark-")
+            atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+        base = _OWN["dir"]
     return f"{base.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
 
 
