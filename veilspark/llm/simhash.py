@@ -156,112 +156,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     named = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
     return nodes.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Grids for similarity joins: each takes BAND_BITS one-bit segments of a fingerprint of 64 * POOL bits.
-POOL, BANDS, BAND_BITS = 4, 96, 22
-PLACES = np.stack([np.random.default_rng(k).choice(64 * POOL, BAND_BITS, replace=False) for k in range(BANDS)])
-#: Differing bits of POOL fingerprints up to which shingles are compared.
-SCREEN = 64
-
-
-def band_keys(fps: Column) -> Column:
-    """The cell of a fingerprint in each of the grids (array of int)."""
-
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, grid = 1 << np.arange(BAND_BITS, dtype=np.int64), np.arange(BANDS, dtype=np.int64) << BAND_BITS
-        for batch in batches:
-            bits = np.unpackbits(np.array(batch.tolist(), np.int64).reshape(-1, POOL).view(np.uint8), axis=1, bitorder="little")
-            yield pd.Series(list((bits[:, PLACES] @ weights + grid).astype(np.int32)))
-
-    return F.pandas_udf(each, "array<int>")(fps)
-
-
-def jaccard_at_least(a: Column, b: Column, width: int, similarity: float) -> Column:
-    """Whether two texts' sets of shingles have that Jaccard similarity."""
-
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            said = []
-            for x, y in zip(left, right, strict=True):
-                p, q = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                said.append(both >= similarity * (len(p) + len(q) - both))
-            yield pd.Series(said, dtype=bool)
-
-    return F.pandas_udf(each, "boolean")(a.cast("binary"), b.cast("binary"))
-
-
-def cell_partners(tuples: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes that share a cell: each with the cell's first node and the three before it.
-
-    Cells of up to four nodes give all their pairs; a larger cell gives at most four
-    pairs a node, so a group of copies costs in proportion to its size.
-    """
-    keyed = tuples.select("node", F.explode(band_keys(F.col("fps"))).alias("cell"))
-    w = Window.partitionBy("cell").orderBy("node")
-    first = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = keyed.select("node", F.array_distinct(F.array(first, *[F.lag("node", k).over(w) for k in (1, 2, 3)])).alias("others"))
-    return near.select(F.col("node").alias("a"), F.explode(F.filter("others", lambda o: o.isNotNull() & (o != F.col("node")))).alias("b")).distinct()
-
-
-def alike_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts, in ``texts(node, text)``, have similar sets of shingles."""
-    text = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b").where(jaccard_at_least(F.col("ta"), F.col("tb"), width, similarity)).select("a", "b")
-
-
-def text_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``docs(doc_id, text)`` as ``doc_id, body, first``: the text's hash and the least (doc_id, body) of its group."""
-    session(docs)
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wordless = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0
-    marked = own.select("doc_id", F.xxhash64("text").alias("body"), F.when(wordless, F.xxhash64(F.lit(""))).otherwise(F.xxhash64("text")).alias("node"), fingerprints(F.col("text"), width, POOL, distinct=True).alias("fps"))
-    keyed = materialize(marked)
-    tuples = materialize(keyed.groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("rep"), F.first("fps").alias("fps")))
-    side = lambda n: tuples.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}"))
-    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(POOL)), F.lit(0))
-    met = materialize(cell_partners(tuples).join(side("a"), "a").join(side("b"), "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= SCREEN))
-    needed = met.select(F.col("a").alias("node")).union(met.select("b")).distinct().join(tuples, "node").select("node", "rep.doc_id", "rep.body")
-    texts = own.join(needed, (own["doc_id"] == needed["doc_id"]) & (F.xxhash64(own["text"]) == needed["body"])).select("node", "text").dropDuplicates(["node"])
-    texts = materialize(texts)
-    nearest = met.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    sure = materialize(alike_pairs(nearest, texts, width, similarity))
-    roots = materialize(components(sure))
-    root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-    open_ = met.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")
-    all_roots = components(sure.unionByName(alike_pairs(open_, texts, width, similarity)))
-    groups = tuples.select("node", "rep").join(all_roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    named = groups.join(groups.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
-    return keyed.join(named, "node").select("doc_id", "body", "first")
-
-
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, component_id`` over pairs of similar texts.
-
-    At a similarity of 0.8 fingerprints differ in about 15 % of their bits, far beyond
-    a radius of two, so candidates come from many grids of one-bit segments (a
-    segment's count is then the bit, and the Manhattan distance the Hamming distance):
-    two texts meet if any grid puts them in one cell. Up to ``SCREEN`` differing bits
-    their sets of shingles are compared: first each text's with its nearest partner's,
-    then those of the pairs that the links found so far do not join.
-
-    Null text counts as empty; texts without words are alike. Rows with null ``doc_id``
-    are left out.
-    """
-    return text_groups(docs, width, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near duplicates, with all columns of ``docs``.
-
-    The text kept is the one with the group's smallest (``doc_id``, text hash); of
-    repeated rows one stays, and other texts under the same id are judged on their own.
-    Documents with null id are never matched to others and stay.
-    """
-    found = text_groups(docs, width, similarity)
-    kept = found.where(F.struct("doc_id", "body") == F.col("first")).select(F.col("doc_id").alias("_vs_d"), F.col("body").alias("_vs_h")).distinct()
-    rows = docs.where("doc_id is not null").withColumn("_vs_body", F.xxhash64("text"))
-    left = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_vs_d")) & (F.col("_vs_body") == F.col("_vs_h")), "left_semi").dropDuplicates(["doc_id", "_vs_body"])
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
