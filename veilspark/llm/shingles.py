@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together (a longer text is hashed alone).
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Bits of a shingle's token; the bits above hold the number of its text in a slice.
 TOKEN_BITS = 52
 BASE = 0x5851F42D4C957F2D
@@ -43,6 +43,7 @@ def slices(column: pa.Array, most: int = 1000) -> Iterator[tuple[int, pa.Array]]
         end = min(max(at + 1, int(np.searchsorted(size, size[at] + SLICE, "right")) - 1), at + most, len(column))
         yield at, column.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on and serve other stages
 
 
 def word_bounds(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

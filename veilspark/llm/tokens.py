@@ -41,7 +41,7 @@ _CACHES: dict[str, Pieces] = {}
 class Pieces:
     """Ids of the pieces that a worker process has met, dropped when they exceed ``limit``."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -147,6 +147,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
+        pa.default_memory_pool().release_unused()  # what other stages have left in this worker
         for batch in batches:
             if batch.num_rows:
                 ids, n = own.batch(batch.column("text"), end_id)
