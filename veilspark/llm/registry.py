@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, huffman, lines, mixing, packing, quality, secrets, simhash, urlfilter
+from . import ann, exact_topk, huffman, lines, mixing, packing, quality, secrets, simhash, urlfilter, whitening
 
 
 def op4(spark, sf_dir):
@@ -21,6 +21,7 @@ def queries():
         "op8_packing_mixture": packing.op8,
         "op9_huffman_ids": huffman.op9,
         "op10_url_filter": urlfilter.op10,
+        "op12_whitening_jacobi": whitening.op12,
     }
 
 
