@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, huffman, lines, mixing, packing, quality, secrets, simhash, trie, urlfilter, whitening
+from . import ann, exact_topk, huffman, lines, mixing, packing, postings, quality, secrets, simhash, trie, urlfilter, whitening
 
 
 def op4(spark, sf_dir):
@@ -23,8 +23,9 @@ def queries():
         "op10_url_filter": urlfilter.op10,
         "op11_prefix_trie": trie.op11,
         "op12_whitening_jacobi": whitening.op12,
+        "op13_decontamination_index": postings.op13,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_topk_kdtree": exact_topk.OP2_SQL, "op6_mixing_histograms": mixing.OP6_SQL, "op11_prefix_trie": trie.OP11_SQL}
+    return {"op2_exact_topk_kdtree": exact_topk.OP2_SQL, "op6_mixing_histograms": mixing.OP6_SQL, "op11_prefix_trie": trie.OP11_SQL, "op13_decontamination_index": postings.OP13_SQL}
