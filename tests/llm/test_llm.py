@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -120,11 +121,39 @@ def test_template_family(spark):
     assert sorted(tuple(r) for r in kept) == sorted(r for r in rows if r != rows[300])
 
 
+def test_template_block():
+    """A block of 2,000 texts of twelve words, eleven of them on one template: links as counted pair by pair, in little memory."""
+    rng = np.random.default_rng(7)
+    tokens_ = [np.concatenate((np.arange(7), rng.choice(np.arange(100, 4000), 1 + k % 3, replace=False))) for k in range(2_000)]
+    block = {"node": np.arange(2_000), "comp": np.arange(2_000) // 2, "n": np.array(list(map(len, tokens_))), "tokens": np.concatenate(tokens_)}
+    tracemalloc.start()
+    both = similar.shared_counts(block, block)
+    found = similar.block_links((block, block), 0.8)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    for i, j in rng.integers(0, 2_000, (300, 2)):
+        assert both[i, j] == len(np.intersect1d(tokens_[i], tokens_[j]))
+    parent = list(range(1_000))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        assert len(np.intersect1d(tokens_[a], tokens_[b])) >= 0.8 * len(np.union1d(tokens_[a], tokens_[b])) and find(a // 2) != find(b // 2)
+        parent[find(a // 2)] = find(b // 2)
+    size = block["n"]
+    for i, j in zip(*np.nonzero(both >= 0.8 * (size[:, None] + size[None] - both)), strict=True):
+        assert find(i // 2) == find(j // 2)
+
+
 @pytest.mark.parametrize("crowd", [2, 32])
 def test_hidden_pairs(spark, monkeypatch, crowd):
     """Pairs at 0.8 or more hidden in families of dissimilar texts, chains of links and large groups: all links, no others."""
     monkeypatch.setattr(similar, "CROWD", crowd)
-    monkeypatch.setattr(similar, "BLOCK_TOKENS", 2_000)
+    for name, few in (("BLOCK_TOKENS", 2_000), ("BLOCK_TEXTS", 25), ("STRIP", 3), ("PAIRS", 100), ("FEW", crowd), ("ROWS", 4)):
+        monkeypatch.setattr(similar, name, few)
     rng = random.Random(8)
     own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
     rows = []
@@ -337,18 +366,16 @@ def test_secrets(docs, empty, spark):
 
 def encoded(docs, name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [(r["doc_id"], np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [end], "<u4")) for r in docs.collect()]
 
 
 def test_tokens_of_odd_texts():
     rng = random.Random(3)
-    bits = list("aAbZé'ß.,!?;\n \t09#\xa0\u3000İΣσḰ\u0301\x01") + [" the", " don't", "\nThe", "...", "<|endoftext|>"]
-    texts = ["", None, " ", "a\n\nb"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    bits = list("aAbZé'ß.,!?;\n \t09#\xa0\u3000İΣσḰ\u0301\x01") + [" the", " don't", "\nThe", "...", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+    texts = ["", None, " ", "a\n\nb", "<|endoftext|>", "<|startoftext|>", "ab <|endoftext|> cd", "in<|endoftext|>word", "<|endoftext|><|endoftext|>", "x\n<|startoftext|>\ny"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         own = tokens.Pieces(public_tokenizers.path(name))
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         ids, n = own.batch(pa.array(texts), 1)
         want = [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
         assert list(n) == list(map(len, want)) and list(ids) == [y for x in want for y in x]

@@ -4,8 +4,8 @@ Neither tokenizer used here has a token that reaches across a space which follow
 non-space character, from a letter to ASCII punctuation other than an apostrophe, or from a newline to a
 letter, so a text's ids are those of its pieces cut at such places. A batch is cut
 and dictionary-encoded by Arrow, and only pieces that the worker has not seen lately
-go through the tokenizer. A text in which a space follows white space goes through
-the tokenizer whole.
+go through the tokenizer. A text in which a space follows white space, or which holds the string of one of the
+tokenizer's added tokens, goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4")
         self.clear()
@@ -99,7 +99,7 @@ class Pieces:
         if len(self.at) > self.limit or self.used > 16 * self.limit:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, f"{UNCUT}|{self.added}" if self.added else UNCUT).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(whole), "", texts)
         if self.folds:
             cut = pc.ascii_lower(cut)
@@ -111,7 +111,7 @@ class Pieces:
         number = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
         first = offsets[:-1] - offsets[0]
         for at in np.flatnonzero(whole):
-            number[first[at]] = self.add(self.encode([texts[int(at)].as_py()]))[0]
+            number[first[at]] = self.add([self.tokenizer.encode(texts[int(at)].as_py(), add_special_tokens=False).ids])[0]
         end = self.add([[end_id]])[0]
         number = np.insert(number, offsets[1:] - offsets[0], end)
         lengths = self.length[number]

@@ -54,8 +54,8 @@ def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
             far = np.abs(c) > 1e-15 * np.sqrt(a * b)
             if far.any():
                 turned = True
-                i, j, zeta = i[far], j[far], (b - a)[far] / (2 * c[far])
-                t = np.where(zeta < 0, -1.0, 1.0) / (np.abs(zeta) + np.hypot(1.0, zeta))
+                i, j, gap, twice = i[far], j[far], (b - a)[far], 2 * c[far]
+                t = np.where(gap < 0, -twice, twice) / (np.abs(gap) + np.hypot(gap, twice))
                 cos = 1 / np.hypot(1.0, t)
                 sin = cos * t
                 for m in (w, v):
