@@ -10,7 +10,7 @@ term lie up to ``slack`` positions from its place.
 
 Terms that no document has end their windows at once. Windows with the same two terms at the same
 distance share their candidates. Tables that grow with the test items are broadcast only
-if counted small.
+if counted small; what is asked of the index grows with the documents and is always merged.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def pairs_of(index: DataFrame, windows: DataFrame, slack: int) -> DataFrame:
     shifts = F.array(*[F.lit(e) for e in range(-2 * slack, 2 * slack + 1)])
     asked = met.where("t2 is not null").withColumn("e", F.explode(shifts)).select(*DOC, (F.col("p") + F.col("delta") + F.col("e")).alias("pos"), F.col("t2").alias("term"), "p", "t1", "delta", "e")
     there = postings(index, keys.where("t2 is not null").select(F.col("t2").alias("term")).distinct())
-    two = asked.join(there, [*DOC, "pos", "term"]).withColumnRenamed("term", "t2")
+    two = asked.hint("merge").join(there, [*DOC, "pos", "term"]).withColumnRenamed("term", "t2")
     one = met.where("t2 is null").withColumn("e", F.lit(0))
     columns = [*DOC, "p", *PAIR, "e"]
     return materialize(two.select(*columns).unionByName(one.select(*columns)))
@@ -109,7 +109,7 @@ def exact_spans(index: DataFrame, windows: DataFrame, pairs: DataFrame) -> DataF
     fresh = found.withColumn("skip", F.greatest(done - F.col("s"), F.lit(0))).where(F.col("skip") < F.size("w"))
     asked = fresh.select(*line, "s", "skip", F.size("w").alias("size"), F.posexplode(F.slice(F.col("w"), F.col("skip") + 1, F.size("w"))).alias("k", "term"))
     asked = asked.select(*line, "size", (F.col("s") + F.col("skip") + F.col("k")).alias("o"), "term").withColumn("pos", F.col("at") + F.col("o"))
-    met = asked.join(postings(index, materialize(found.select(*DOC).distinct())), [*DOC, "pos", "term"])
+    met = asked.hint("merge").join(postings(index, materialize(found.select(*DOC).distinct())), [*DOC, "pos", "term"])
     island = met.withColumn("run", F.col("o") - F.row_number().over(Window.partitionBy(*line).orderBy("o")))
     runs = island.groupBy(*line, "run", "size").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     return materialize(runs.where("n >= size").select(*DOC, "c", "first", "last"))
@@ -125,7 +125,7 @@ def near_items(index: DataFrame, windows: DataFrame, pairs: DataFrame, exact: Da
     starts = materialize(starts.distinct())
     asked = starts.select(*DOC, "c", "s", "at", F.size("w").alias("size"), F.posexplode("w").alias("j", "term")).withColumn("g", F.explode(moved))
     asked = asked.withColumn("pos", F.col("at") + F.col("j") + F.col("g"))
-    met = asked.join(postings(index, materialize(starts.select(*DOC).distinct())), [*DOC, "pos", "term"]).select(*DOC, "c", "s", "at", "size", "j").distinct()
+    met = asked.hint("merge").join(postings(index, materialize(starts.select(*DOC).distinct())), [*DOC, "pos", "term"]).select(*DOC, "c", "s", "at", "size", "j").distinct()
     whole = met.groupBy(*DOC, "c", "s", "at", "size").agg(F.count("*").alias("n")).where("n = size")
     return whole.select(*DOC, "c").distinct()
 
