@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chain, corpus, detection, graph, listing, records, redaction, registry, retrieval, search
+from . import chain, corpus, detection, glossary, graph, listing, records, redaction, registry, retrieval, search, typed
 
-MODULES = [detection, chain, corpus, graph, listing, records, redaction, registry, retrieval, search]
+MODULES = [detection, chain, corpus, glossary, graph, listing, records, redaction, registry, retrieval, search, typed]
 
 
 def flagship(spark, sf_dir):

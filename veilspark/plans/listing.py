@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PATTERNS, TAXONOMY
-from . import detection, retrieval
+from . import detection
 
 
 def r6_phones(spark, d):
@@ -62,12 +62,6 @@ def q6_listing(spark, d):
     return e.where("user_id = 3 and event_type = 'click'").select("event_id", "user_id", "event_type")
 
 
-def g4_markdown(spark, d):
-    """The glossary as Markdown, one line for each term, in the order of a listing: by count, then by term."""
-    line = F.concat(F.lit("- **"), "term", F.lit("** ("), F.col("n").cast("string"), F.lit(")"))
-    return retrieval.g2_glossary(spark, d).select("term", line.alias("markdown")).orderBy(F.col("n").desc(), "term")
-
-
 def a10_egress(spark, d):
     """One summary entry per conversation sent out, and one entry per part."""
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "role", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
@@ -77,7 +71,7 @@ def a10_egress(spark, d):
 
 QUERIES = {
     "r6_phone_normalise": r6_phones, "r9_mail_stats": r9_mail_stats, "t3_taxonomy_gate": t3_gate, "k23_update_vectors": k23_update,
-    "k28_scoped_names": k28_scoped, "k36_token_merge": k36_tokens, "q6_review_listing": q6_listing, "g4_glossary_markdown": g4_markdown, "a10_egress_entries": a10_egress,
+    "k28_scoped_names": k28_scoped, "k36_token_merge": k36_tokens, "q6_review_listing": q6_listing, "a10_egress_entries": a10_egress,
 }
 
 MASKED = "text"
@@ -95,7 +89,6 @@ SQL = {
     "k36_token_merge": f"""WITH b AS ({detection.SQL['r13_token_projection']}), m AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '{detection.sql_regex(0)}', '[EMAIL]', 'g'), '\\[EMAIL\\]')) AS token FROM conversations)
         SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT token, n FROM b UNION ALL SELECT token, 1 FROM m) GROUP BY token""",
     "q6_review_listing": "SELECT event_id, user_id, event_type FROM events WHERE user_id = 3 AND event_type = 'click'",
-    "g4_glossary_markdown": f"SELECT term, '- **' || term || '** (' || n || ')' AS markdown FROM ({retrieval.SQL['g2_glossary']})",
     "a10_egress_entries": """SELECT conv_id, 'llm_egress' AS category, count(*) AS parts, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id
         UNION ALL SELECT conv_id, 'llm_egress.' || role, 1, CAST(coalesce(strlen(text), 0) AS BIGINT) FROM conversations""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spans as S
+from ..operators.related import related
 from .facts import FACTS, MAIL, documents, facts, located_sql
 
 # The vocabularies that place a document in a vertical.
@@ -45,19 +46,6 @@ def g1_observed(spark, d):
     return f.groupBy("category", F.col("surface").alias("term")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).where("n >= 2")
 
 
-def g3_links(spark, d):
-    """Links of glossary terms in texts: every literal occurrence, earliest first, then longest, none overlapping.
-
-    A term is a capital and small letters, so an occurrence begins a capitalised word: only beginnings of
-    those are looked up.
-    """
-    terms = g1_observed(spark, d).where("category = 'person'").select("term")
-    words = facts(spark, d).where("category = 'person'").select("doc_id", "start", F.explode(F.transform(F.sequence(F.lit(6), F.char_length("surface")), lambda n: F.left(F.col("surface"), n))).alias("term"))
-    best = words.join(terms, "term").groupBy("doc_id", "start").agg(F.max_by("term", F.char_length("term")).alias("term"))
-    anchor = F.lower(F.regexp_replace("term", "[^A-Za-z0-9]", "-"))
-    return best.select("doc_id", F.col("start").cast("long").alias("start"), F.concat(F.lit("["), "term", F.lit("](#"), anchor, F.lit(")")).alias("link"))
-
-
 def e1_registry(spark, d):
     """Entities by normalised name, type and vertical: longest form, aliases, mentions, documents, stable id."""
     name = F.lower(F.regexp_replace("surface", "[.,;:]+$", ""))
@@ -119,20 +107,10 @@ def e3_org_aliases(spark, d):
 
 
 def e8_related(spark, d, top_k=5):
-    """The documents most related to each by the summed idf of all shared entities; an entity of every document adds nothing.
-
-    Rows of one entity meet in a join whose skewed keys Spark splits, and scores are summed before they move.
-    """
-    m = facts(spark, d).where("category = 'person'").select("doc_id", F.col("surface").alias("term")).distinct()
-    n = documents(spark, d).agg(F.count("*").cast("double").alias("n"))
-    df = m.groupBy("term").agg(F.count("*").alias("df")).where("df > 1").crossJoin(F.broadcast(n)).where("df < n")  # one row
-    w = m.join(df.select("term", F.log(F.col("n") / F.col("df")).alias("idf")), "term")
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    s = pairs.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).agg(F.round(F.sum("a.idf"), 6).alias("score"))
-    both = s.select(F.col("x").alias("doc_id"), F.col("y").alias("other"), "score").unionByName(s.select(F.col("y").alias("doc_id"), F.col("x").alias("other"), "score"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("doc_id", "other", "score")
+    """The documents most related to each by the summed idf of all shared entities, with those entities; an entity of every document adds nothing."""
+    m = facts(spark, d).where("category = 'person'").select(F.col("doc_id").alias("doc"), F.col("surface").alias("term"))
+    found, _ = related(m, documents(spark, d).count(), top_k)
+    return found.select(F.col("doc").alias("doc_id"), "other", F.round(F.col("score") / 1e9, 6).alias("score"), F.array_join("shared", ", ").alias("shared"))
 
 
 ISO = "^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
@@ -201,7 +179,7 @@ def snk4_nodes(spark, d):
 
 
 QUERIES = {
-    "g1_observed_terms": g1_observed, "g3_term_links": g3_links, "e1_e4_e5_registry": e1_registry, "e6_document_entities": e6_mapping, "e6_batch_summary": e6_summary,
+    "g1_observed_terms": g1_observed, "e1_e4_e5_registry": e1_registry, "e6_document_entities": e6_mapping, "e6_batch_summary": e6_summary,
     "e2_person_aliases": e2_person_aliases, "e3_org_aliases": e3_org_aliases, "e8_related_documents": e8_related, "e10_date_range": e10_dates, "e12_timeline": e12_timeline,
     "e13_intra_document": e13_intra, "e14_vertical": e14_vertical, "e15_outline": e15_outline, "e16_front_matter": e16_front, "snk4_graph_nodes": snk4_nodes,
 }
@@ -214,8 +192,6 @@ NAMES = "names AS (SELECT doc_id, f[1] AS one, f[2] AS two FROM (SELECT doc_id,
 DATED = """dated AS (SELECT o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'around ' || strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS said FROM orders)"""
 SQL = {
     "g1_observed_terms": f"WITH {GLOSSARY} SELECT * FROM observed",
-    "g3_term_links": f"""WITH {GLOSSARY}, w AS (SELECT doc_id, s, left(surface, n) AS term FROM (SELECT doc_id, s, surface, unnest(range(6, length(surface) + 1)) AS n FROM facts WHERE category = 'person')),
-        b AS (SELECT doc_id, s, arg_max(term, length(term)) AS term FROM w JOIN (SELECT term FROM observed WHERE category = 'person') USING (term) GROUP BY 1, 2) SELECT doc_id, s AS start, '[' || term || '](#' || lower(term) || ')' AS link FROM b""",
     "e1_e4_e5_registry": f"WITH {REGISTRY} SELECT * FROM registry",
     "e6_document_entities": f"WITH {PLACED} SELECT doc_id, category, name, count(*) AS mentions FROM placed GROUP BY 1, 2, 3",
     "e6_batch_summary": f"WITH {PLACED} SELECT vertical, count(DISTINCT doc_id) AS documents, count(DISTINCT category || '|' || name) AS entities, count(*) AS mentions FROM placed GROUP BY 1",
@@ -226,9 +202,9 @@ SQL = {
         b AS (SELECT name, string_split(regexp_replace(lower(name), '[.,;:]', '', 'g'), ' ') AS t FROM n)
         SELECT t[1] AS base, arg_max(name, (length(name), name)) AS canonical, count(DISTINCT name) AS forms FROM b GROUP BY 1""",
     "e8_related_documents": f"""WITH {FACTS}, m AS (SELECT DISTINCT doc_id, surface AS term FROM facts WHERE category = 'person'), f AS (SELECT term, count(*) AS df FROM m GROUP BY 1 HAVING count(*) > 1),
-        w AS (SELECT doc_id, term, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS idf FROM m JOIN f USING (term) WHERE df < (SELECT count(*) FROM documents)),
-        s AS (SELECT a.doc_id, b.doc_id AS other, round(sum(a.idf), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2)
-        SELECT doc_id, other, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) <= 5""",
+        w AS (SELECT doc_id, term, CAST(round(ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) * 1e9) AS BIGINT) AS idf FROM m JOIN f USING (term) WHERE df < (SELECT count(*) FROM documents)),
+        s AS (SELECT a.doc_id, b.doc_id AS other, sum(a.idf) AS score, string_agg(a.term, ', ' ORDER BY a.idf DESC, a.term) AS shared FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+        SELECT doc_id, other, round(CAST(score AS DOUBLE) / 1e9, 6) AS score, shared FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) <= 5""",
     "e10_date_range": f"WITH {DATED} SELECT o_custkey, min(said) AS first_date, max(said) AS last_date FROM dated WHERE regexp_matches(said, '{ISO}') GROUP BY 1",
     "e12_timeline": f"WITH {DATED} SELECT said, count(*) AS n, regexp_matches(said, '{ISO}') AS iso FROM dated GROUP BY 1 ORDER BY 3 DESC, 1",
     "e13_intra_document": f"WITH {FACTS} SELECT doc_id, category, left(trim(regexp_replace(lower(surface), '[^a-z0-9]+', '-', 'g'), '-'), 64) AS slug, count(*) AS n, count(*) AS spans FROM facts GROUP BY 1, 2, 3",

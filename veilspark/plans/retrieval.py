@@ -82,13 +82,13 @@ def k8_sparse(spark, d):
 
 
 
-FILTER = {"and": [{"range": {"field": "value", "gte": 10.0}}, {"or": [{"eq": {"field": "event_type", "value": "click"}}, {"in": {"field": "event_type", "values": ["view"]}}]}, {"not": {"eq": {"field": "metadata.k", "value": "69"}}}]}
+FILTER = {"and": [{"range": {"field": "value", "gte": 10.0}}, {"or": [{"eq": {"field": "event_type", "value": "click"}}, {"in": {"field": "event_type", "values": ["view"]}}]}, {"not": {"eq": {"field": "metadata.k", "value": 69}}}]}
 
 
 def k10_filter(spark, d):
     validate(FILTER, {"value", "event_type"})
     e = spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("props", "metadata")
-    return e.where(compile_filter(FILTER)).select("event_id")
+    return e.where(compile_filter(FILTER, e.schema)).select("event_id")
 
 
 def k18_upsert(spark, d):

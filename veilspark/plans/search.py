@@ -76,7 +76,7 @@ class Query:
 def bounded(rows: DataFrame, q: Query, tenant: str) -> DataFrame:
     """Rows inside the query's hard boundaries; all come before any scoring."""
     validate(q.where, {"ordinal", "version", "dossier", "document"})
-    rows = rows.where(allowed(tenant)).where(compile_filter(q.where))
+    rows = rows.where(allowed(tenant)).where(compile_filter(q.where, rows.schema))
     for name in ("document", "dossier", "version"):
         if getattr(q, name) is not None:
             rows = rows.where(F.col(name) == getattr(q, name))
