@@ -13,6 +13,8 @@ from ..functions import json_text as J
 from ..functions import pseudonyms as P
 from ..functions import spans as S
 from ..functions.patterns import TAXONOMY
+from ..operators import asof
+from ..operators.tickets import minted, resolved
 from .facts import FACTS, IP, MAIL, NAME, SURE, documents, facts, located_sql
 
 GENESIS = "0" * 64
@@ -131,13 +133,38 @@ def tokens(spark, d):
     return t.select("surface", P.reveal(F.col("token"), KEYS).alias("revealed"), P.reveal(F.replace("token", F.lit(":k1:"), F.lit(":k2:")), KEYS).isNull().alias("refused"), F.col("token").rlike(f"^{P.TOKEN}$").alias("shaped"))
 
 
+LONG_TICKET = 36_000
+
+
+def timed(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
 def tickets(spark, d):
-    """Reveal tickets (errors ask for 1 to 900 seconds, clamped to 600) and whether the user's next view finds one open; a ticket opens once."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "ts", F.greatest(F.least(F.col("event_id") % 900 * 60, F.lit(36000)), F.lit(60)).alias("ttl"))
-    t = e.where("event_type = 'error'")
-    u = e.where("event_type = 'view'").select(F.col("user_id").alias("u"), F.col("event_id").alias("use_id"), F.col("ts").alias("used"))
-    open_ = (F.col("user_id") == F.col("u")) & (F.col("used") > F.col("ts")) & (F.col("used") < F.col("ts") + F.make_dt_interval(secs=F.col("ttl").cast("double")))
-    return t.join(u, open_, "left").groupBy("event_id").agg(F.min_by("use_id", F.struct("used", "use_id")).alias("opened_by"))
+    """Reveal tickets (errors ask for up to 900 minutes, clamped to 600) and whether the user's next view finds one open; a ticket opens once."""
+    e = timed(spark, d).select(F.col("user_id").alias("key"), "at", F.col("event_id").alias("id"), "event_type")
+    ttl = F.greatest(F.least(F.col("id") % 900 * 60, F.lit(LONG_TICKET)), F.lit(60))
+    found = asof.nearest(e.where("event_type = 'error'"), e.where("event_type = 'view'"), LONG_TICKET, after=True)
+    return found.select(F.col("id").alias("event_id"), F.when(F.col("found_at") < F.col("at") + ttl * 1_000_000, F.col("found_id")).alias("opened_by"))
+
+
+def scoped_tickets(spark, d):
+    """Tickets with scopes (errors) and what becomes of every attempt (other events, on the user's last ticket): documents, tokens, categories, approvers, revocations."""
+    e, n = timed(spark, d), F.col("event_id")
+    text = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    asks = e.where("event_type = 'error'").select(
+        n.alias("ticket_id"), (F.col("user_id") % 3).alias("tenant"), F.col("user_id").alias("subject"), "at", (n % 50 * 900).alias("ttl"), F.when(n % 17 > 0, text((n % 3).cast("string"), (n % 4 + 1).cast("string"))).alias("document_ids"),
+        F.when(n % 2 == 0, text(F.concat(F.lit("[PERSON:k1:"), (n % 3).cast("string"), F.lit("]")))).alias("token_ids"), F.when(n % 4 == 1, text("EMAIL")).when(n % 4 == 3, text("EMAIL", "ssn", "SSN")).alias("field_scope"),
+        F.when(n % 19 > 0, "case").alias("justification"), F.when(n % 3 == 0, text("a", "b")).when(n % 3 == 1, text("a", "a")).alias("approvers"))
+    made = minted(asks, most=LONG_TICKET)
+    uses = e.where("event_type <> 'error'")
+    side = lambda x: x.select(F.col("user_id").alias("key"), "at", F.col("event_id").alias("id"))
+    last = asof.nearest(side(uses), side(e.where("event_type = 'error'")), 7 * 86_400, after=False)
+    i = F.col("id")
+    token = F.when(i % 6 == 0, "[EMAIL:k1:A]").when(i % 6 == 1, "[SSN:k1:B]").when(i % 6 == 2, "[PERSON:k1:0]").when(i % 6 == 3, "[EMAIL:k1]").otherwise(F.concat(F.lit("[PERSON:k1:"), (i % 3).cast("string"), F.lit("]")))
+    tries = last.select(i.alias("attempt_id"), (F.col("key") % 3).alias("tenant"), F.col("found_id").alias("ticket_id"), F.when(i % 11 > 0, F.col("key")).alias("principal"), F.when(i % 13 > 0, (i % 5).cast("string")).alias("document_id"), token.alias("token"), "at")
+    gone = made.where("ticket_id % 5 = 0").select("tenant", "ticket_id", (F.col("at") + 7200 * 1_000_000).alias("at"))
+    return resolved(made, tries, gone)
 
 
 def model_spans(docs: DataFrame, detector: Callable[[list[str]], list[list[tuple]]], threshold: float = 0.5, categories: tuple[str, ...] | None = None) -> DataFrame:
@@ -217,7 +244,7 @@ def light(spark, d):
 
 QUERIES = {
     "r1_r2_r5_modes": modes, "d7_scan": scan_is_pure, "r8_span_log": span_log, "d12_tables": tables, "d12_pages_notes": pages, "d12_json_leaves": nested_json, "r11_annotated": annotated,
-    "r12_exportable": exportable, "r3_r7_tokens": tokens, "r14_tickets": tickets, "d3_model_entities": model_entities, "d9_thresholds": thresholds, "d8_provenance": verticals, "d10_light_detector": light,
+    "r12_exportable": exportable, "r3_r7_tokens": tokens, "r14_tickets": tickets, "r14_scoped_tickets": scoped_tickets, "d3_model_entities": model_entities, "d9_thresholds": thresholds, "d8_provenance": verticals, "d10_light_detector": light,
 }
 
 SURES = f"({MAIL}|{IP})"
@@ -244,6 +271,17 @@ SQL = {
     "r3_r7_tokens": f"WITH {FACTS} SELECT DISTINCT surface, lower(surface) AS revealed, true AS refused, true AS shaped FROM facts WHERE category = 'email'",
     "r14_tickets": """WITH e AS (SELECT event_id, user_id, event_type, ts, greatest(least(event_id % 900 * 60, 36000), 60) AS ttl FROM events)
         SELECT t.event_id, arg_min(u.event_id, (u.ts, u.event_id)) AS opened_by FROM e t LEFT JOIN e u ON t.user_id = u.user_id AND u.event_type = 'view' AND u.ts > t.ts AND u.ts < t.ts + to_seconds(t.ttl) WHERE t.event_type = 'error' GROUP BY 1""",
+    "r14_scoped_tickets": """WITH e AS (SELECT event_id AS n, user_id, event_type, epoch_us(ts) AS tm FROM events),
+        t AS (SELECT n AS ticket, user_id, tm, tm + greatest(least(n % 50 * 900, 36000), 1) * 1000000 AS stop, CASE WHEN n % 17 > 0 THEN [CAST(n % 3 AS VARCHAR), CAST(n % 4 + 1 AS VARCHAR)] ELSE [] END AS docs,
+              CASE WHEN n % 2 = 0 THEN ['[PERSON:k1:' || n % 3 || ']'] ELSE [] END AS tokens, CASE n % 4 WHEN 1 THEN ['EMAIL'] WHEN 3 THEN ['EMAIL', 'ssn', 'SSN'] ELSE [] END AS fields, CASE WHEN n % 5 = 0 THEN tm + 7200000000 END AS gone,
+              n % 17 > 0 AND n % 19 > 0 AND (n % 4 <> 3 OR n % 3 = 0) AS made FROM e WHERE event_type = 'error'),
+        l AS (SELECT u.n, u.user_id, u.tm, max_by(t.ticket, (t.tm, t.ticket)) AS ticket FROM e u LEFT JOIN t ON t.user_id = u.user_id AND t.tm <= u.tm AND u.tm - t.tm < 604800000000 WHERE u.event_type <> 'error' GROUP BY ALL),
+        a AS (SELECT l.n, l.ticket, l.tm, stop, made, gone, n % 11 > 0 AS holder, CASE n % 6 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'SSN' WHEN 3 THEN '' ELSE 'PERSON' END AS kind,
+              CASE n % 6 WHEN 0 THEN '[EMAIL:k1:A]' WHEN 1 THEN '[SSN:k1:B]' WHEN 2 THEN '[PERSON:k1:0]' WHEN 3 THEN '[EMAIL:k1]' ELSE '[PERSON:k1:' || n % 3 || ']' END AS token, CASE WHEN n % 13 > 0 THEN CAST(n % 5 AS VARCHAR) ELSE '' END AS doc, docs, tokens, fields FROM l LEFT JOIN t USING (ticket)),
+        b AS (SELECT *, list_contains(docs, doc) AND (list_contains(tokens, token) OR list_contains(fields, kind)) AS covered, coalesce(tm >= gone, false) AS revoked, tm >= stop AS expired FROM a),
+        f AS (SELECT ticket, min((tm, n)) AS used FROM b WHERE made AND holder AND covered AND NOT revoked AND NOT expired GROUP BY 1)
+        SELECT n AS attempt_id, b.ticket AS ticket_id, CASE WHEN NOT coalesce(made, false) THEN 'not_found' WHEN NOT holder THEN 'not_holder' WHEN (tm, n) > used THEN 'consumed' WHEN revoked THEN 'revoked' WHEN expired THEN 'expired' WHEN NOT covered THEN 'scope_violation' ELSE 'revealed' END AS outcome
+        FROM b LEFT JOIN f USING (ticket)""",
     "d3_model_entities": f"""WITH {FACTS}, m AS (SELECT doc_id, s, CASE WHEN length(surface) = 9 THEN 1.0 ELSE least(1.0, length(surface) / 16) END::DOUBLE AS c FROM facts WHERE category = 'person')
         SELECT doc_id, count(*) AS n, round(sum(c), 6) AS confidence, min(s) AS first FROM m WHERE c >= 0.5 GROUP BY 1""",
     "d9_thresholds": f"WITH {FACTS} SELECT category, count(*) AS n, min(confidence) AS least FROM facts WHERE confidence >= CASE WHEN category = 'person' THEN 0.65 ELSE 0.48 END GROUP BY 1",
