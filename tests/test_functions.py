@@ -154,24 +154,6 @@ def test_json_leaves_at_any_depth(spark):
     assert df.select(json_text.string_leaves(F.col("j")).alias("s")).first()["s"] == ["x@y.org", 'q"\\ z@w.org', 'v@v.org: {"no": 1}', "", "é\u2028"]
 
 
-def test_line_diff():
-    """Operations give both texts again and keep as many lines as a plain recursion finds; deletions come first."""
-    def longest(a, b):
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-        return best[0][0]
-
-    rng = random.Random(4)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        ops = corpus.line_diff(a, b)
-        assert [x for k, x in ops if k != "insert"] == a and [x for k, x in ops if k != "delete"] == b
-        assert sum(k == "equal" for k, _ in ops) == longest(a, b)
-    assert corpus.line_diff(["a"], ["b"]) == [("delete", "a"), ("insert", "b")]
-
-
 def test_query_limits():
     search.Query(vector=1, top_k=200, multiplier=20).check(64, 64)
     for bad in (search.Query(vector=1, top_k=0), search.Query(vector=1, top_k=201), search.Query(vector=1, multiplier=21), search.Query(), search.Query(mode="hybrid", vector=1, text=" "), search.Query(mode="other", vector=1)):

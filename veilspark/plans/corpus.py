@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..operators import histograms as H
+from ..operators.bootstrap import interval
+from ..operators.linediff import line_ops, lines_of
+from ..operators.shared import stored
 from ..sources.mail import between
 from .facts import FACTS, SURE, documents, facts, located_sql
 
@@ -62,7 +64,7 @@ def leakage(spark, d):
 
 def gold_and_predicted(spark, d):
     """Person and mail spans as gold; predictions that are a character short, mislabelled or doubled by document."""
-    g = facts(spark, d).where("category <> 'ip_address'").select("doc_id", F.col("category").alias("label"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
+    g = stored(facts(spark, d).where("category <> 'ip_address'").select("doc_id", F.col("category").alias("label"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e")))
     k = F.col("doc_id") % 4
     p = g.where("(s + doc_id) % 7 <> 0").withColumn("e", F.when(k == 0, F.col("e") - 1).otherwise(F.col("e"))).withColumn("label", F.when((k == 2) & (F.col("label") == "person"), "email").otherwise(F.col("label")))
     return g, p.unionByName(p.where(k == 3))
@@ -135,42 +137,13 @@ def bootstrap(spark, d, resamples=40):
     return all_f1.select(F.get("x", F.lit(int(resamples * 0.025))).alias("lower_95"), F.get("x", F.lit(min(resamples - 1, -(-resamples * 975 // 1000)))).alias("upper_95"), "resamples")
 
 
-def line_diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Operations that turn one list of lines into another over a longest common subsequence; deletions first on ties."""
-    n, m = len(old), len(new)
-    number = {x: k for k, x in enumerate(dict.fromkeys([*old, *new]))}
-    a, b = np.array([number[x] for x in old], int), np.array([number[x] for x in new], int)
-    common = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):  # a row from the one below: best of skipping a line, then a running maximum from the right
-        row = np.where(b == a[i], common[i + 1, 1:] + 1, common[i + 1, :-1])
-        common[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append(("equal", old[i]))
-            i, j = i + 1, j + 1
-        elif common[i + 1, j] >= common[i, j + 1]:
-            out.append(("delete", old[i]))
-            i += 1
-        else:
-            out.append(("insert", new[j]))
-            j += 1
-    return [*out, *(("delete", x) for x in old[i:]), *(("insert", x) for x in new[j:])]
-
-
 def diffs(spark, d):
     """Line diffs between two versions of each document (every third line changed, every fifth gone)."""
-    lines = F.split("text", "\n")
+    lines = lines_of(F.col("text"))
     new = F.filter(F.transform(lines, lambda x, i: F.when(i % 5 == 4, None).when(i % 3 == 2, F.concat(x, F.lit(" new"))).otherwise(x)), lambda x: x.isNotNull())
-    t = documents(spark, d).select("doc_id", lines.alias("old"), new.alias("new"))
-
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for old, now in batches:
-            yield pd.Series([[op for op, _ in line_diff(list(a), list(b))] for a, b in zip(old, now, strict=True)])
-
-    ops = t.select("doc_id", F.pandas_udf(each, "array<string>")("old", "new").alias("ops"))
-    count = lambda k: F.size(F.filter("ops", lambda x: x == k)).cast("long")
-    return ops.select("doc_id", count("equal").alias("equal"), count("delete").alias("deleted"), count("insert").alias("inserted"))
+    ops = documents(spark, d).select("doc_id", line_ops(lines, new).alias("ops"))
+    count = lambda k: F.size(F.filter("ops", lambda x: x["op"] == k)).cast("long")
+    return ops.select("doc_id", count("equal").alias("equal"), count("delete").alias("deleted"), count("insert").alias("inserted"), F.sha2(F.to_json("ops"), 256).alias("ops_sha256"))
 
 
 def date_range(spark, d):
@@ -201,6 +174,28 @@ def records(spark, d):
     return rows.select(F.concat_ws(":", "external_id", F.col("ordinal").cast("string")).alias("chunk_id"), "content_md5")
 
 
+def drawn_interval(spark, d, resamples=1000, seed=42):
+    """The 95 % interval of the exact micro F1 over resampled documents, with the draws of one sequential generator."""
+    g, p = gold_and_predicted(spark, d)
+    key = ["doc_id", "label", "s", "e"]
+    both = g.groupBy(key).agg(F.count("*").alias("g")).join(p.groupBy(key).agg(F.count("*").alias("p")), key, "full").fillna(0, ["g", "p"])
+    tp = F.least("g", "p")
+    counts = both.groupBy("doc_id").agg(F.sum(tp).alias("tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
+    return interval(counts.withColumnRenamed("doc_id", "case"), resamples, seed)
+
+
+BOUNDS, PANE, RANGE, HOLD, HIGH = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0], 60, 5, 300, 20.0
+
+
+def histogram_quantiles(spark, d):
+    """At every minute with events in its last five: quantiles by event type from merged histograms, and whether the alert on the 99th has held for five minutes."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", F.col("value").cast("double").alias("value"))
+    merged = H.ranges(H.panes(e, ["event_type"], BOUNDS, f"{PANE} seconds"), ["event_type"], RANGE, PANE, len(BOUNDS) + 1)
+    q = lambda x: F.round(H.quantile(F.col("counts"), BOUNDS, x), 6)
+    rows = merged.select("at", "event_type", F.get("counts", F.lit(len(BOUNDS))).alias("n"), q(0.5).alias("p50"), q(0.99).alias("p99")).withColumn("above", F.col("p99") > HIGH)
+    return H.firing(rows, ["event_type"], "above", HOLD, PANE)
+
+
 def quantiles(spark, d):
     """Per five minutes: median and 99th percentile of the value, increase over the window before, and whether an alert fires."""
     from pyspark.sql.window import Window
@@ -212,9 +207,15 @@ def quantiles(spark, d):
 
 QUERIES = {
     "t5_word_spans": word_spans, "t7_preflight": preflight, "t8_leakage": leakage, "t9_exact_scores": exact_scores, "t9_overlap_scores": overlap_scores, "t10_bootstrap": bootstrap,
-    "n3_line_diff": diffs, "src4_date_range": date_range, "m1_ingested": ingested, "m2_watermark": watermark, "m3_records": records, "c6_quantiles": quantiles,
+    "n3_line_diff": diffs, "src4_date_range": date_range, "m1_ingested": ingested, "m2_watermark": watermark, "m3_records": records, "c6_quantiles": quantiles, "c6_histogram_quantiles": histogram_quantiles, "t10_drawn_interval": drawn_interval,
 }
 
+def quantile_sql(q: float) -> str:
+    """The interpolated quantile of the counts ``c``."""
+    cases = " ".join(f"WHEN c[{n + 1}] >= c[7] * {q} THEN {BOUNDS[n - 1] if n else 0.0} + {b - (BOUNDS[n - 1] if n else 0.0)} * (c[7] * {q} - {f'c[{n}]' if n else 0}) / (c[{n + 1}] - {f'c[{n}]' if n else 0})" for n, b in enumerate(BOUNDS))
+    return f"CASE {cases} ELSE {BOUNDS[-1]} END"
+
+
 GOLD = f"""{FACTS}, gold AS (SELECT doc_id, category AS label, s, e FROM facts WHERE category <> 'ip_address'),
   p0 AS (SELECT doc_id, CASE WHEN doc_id % 4 = 2 AND label = 'person' THEN 'email' ELSE label END AS label, s, CASE WHEN doc_id % 4 = 0 THEN e - 1 ELSE e END AS e FROM gold WHERE (s + doc_id) % 7 <> 0),
   pred AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE doc_id % 4 = 3),
@@ -245,4 +246,8 @@ SQL = {
     "m3_records": f"WITH c AS ({TURNS}), p AS (SELECT 'mail-' || left(sha256('inbox:' || conv_id || ':' || turn), 16) AS x, text, unnest(range(0, greatest(length(text) - 1 - 50, 0) + 1, 462)) AS a FROM c) SELECT x || ':' || (a // 462) AS chunk_id, md5(substr(text, a + 1, 512)) AS content_md5 FROM p",
     "c6_quantiles": """WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1)
         SELECT start, n, p50, p99, n - lag(n) OVER (PARTITION BY CAST(start AS DATE) ORDER BY start) AS increase, p99 > 300 AS alert FROM w""",
+    "c6_histogram_quantiles": f"""WITH e AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE * (1 + k) AS at_, event_type, value FROM events, range(5) r(k)),
+        c AS (SELECT at_, event_type, [{", ".join(f"count(*) FILTER (value <= {b})" for b in BOUNDS)}, count(*)] AS c FROM e GROUP BY 1, 2),
+        q AS (SELECT at_, event_type, c[7] AS n, {", ".join(f"round({quantile_sql(x)}, 6) AS p{int(x * 100)}" for x in (0.5, 0.99))} FROM c)
+        SELECT at_ AS "at", event_type, n, p50, p99, p99 > {HIGH} AS above, count(*) FILTER (p99 > {HIGH}) OVER (PARTITION BY event_type ORDER BY at_ RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW) = 6 AS firing FROM q""",
 }
