@@ -246,3 +246,61 @@ def test_histograms(spark):
         assert at[r["at"], r["k"]] == list(r["counts"]) and r["counts"][3] >= r["counts"][2]
     held = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", "a", m not in (3, 9)) for m in range(16)] + [("2024-01-01 00:20:00", "a", True)], "t string, k string, above boolean").select(F.col("t").cast("timestamp").alias("at"), "k", "above")
     assert [r["at"].minute for r in histograms.firing(held, ["k"], "above", 300, 60).where("firing").orderBy("at").collect()] == [15]
+
+
+def test_waits():
+    """In order as the plain queue says; out of order never more than the limit in any window, and rejected only if there would be."""
+    from collections import deque
+
+    from veilspark.operators import quota
+
+    rng = random.Random(8)
+    for _ in range(60):
+        limit, times = rng.randint(1, 4), sorted(rng.choice([rng.randint(0, 300), 7.5]) for _ in range(60))
+        held = []
+        said = quota.waits(times, held, limit, 60.0)
+        assert [(w is None, 0 if w is None else max(1, int(w))) for w in said] == quota.admit(times, deque(), limit, 60.0)
+        rng.shuffle(times)
+        held, admitted = [], []
+        most = lambda x: max((sum(a <= b < a + 60 for b in x) for a in x), default=0)
+        for t, w in zip(times, quota.waits(times, held, limit, 60.0), strict=True):
+            assert (w is None) == (most([*admitted, t]) <= limit)
+            admitted += [t] if w is None else []
+        assert held == sorted(admitted)
+    assert quota.waits([1.0], [], 0, 60.0) == [60.0]
+
+
+@pytest.mark.parametrize("block", [4, 32])
+def test_text_index(spark, block):
+    """The best texts of each query are those of plain BM25, ties by id, with fewer blocks read than there are."""
+    import re
+
+    from veilspark.operators import textindex
+
+    rng = random.Random(9)
+    tongues = [["the", "of", "and", *[f"en{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]], ["der", "und", *[f"de{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]]]
+    pick = lambda words: words[min(len(words) - 1, int(rng.expovariate(0.04)))]
+    texts = [" ".join(pick(tongues[n % 2]) for _ in range(rng.randint(3, 40))) for n in range(400)] + ["", None, "123", "The, OF!"]
+    texts += [texts[7]] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    queries = [(n, " ".join(pick(tongues[n % 2]) for _ in range(3))) for n in range(12)] + [(50, None), (51, "!!"), (52, "nowhereword"), (53, "the der"), (54, texts[7])]
+    words = {n: re.findall("[a-z]+", (t or "").lower()) for n, t in enumerate(texts)}
+    words = {n: w for n, w in words.items() if w}
+    mean, n = np.mean([len(w) for w in words.values()]), len(words)
+    df_ = defaultdict(int)
+    for w in words.values():
+        for t in set(w):
+            df_[t] += 1
+    weight = lambda t, w: round(math.log(1 + (n - df_[t] + 0.5) / (df_[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (1 - 0.75 + 0.75 * len(w) / mean)) * 1e9)
+    index = textindex.build(df, block)
+    for every in (False, True):
+        want = []
+        for q, text in queries:
+            terms = set(re.findall("[a-z]+", (text or "").lower()))
+            found = [(-sum(weight(t, w) for t in terms if t in w), i) for i, w in words.items() if terms and (all if every else any)(t in w for t in terms)]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:5])]
+        got, work = textindex.search(index, spark.createDataFrame(queries, "query_id long, text string"), 5, every)
+        rows = sorted(tuple(r) for r in got.collect())
+        assert [r[:3] for r in rows] == [r[:3] for r in want] and all(abs(a[3] - b[3]) <= len(queries) for a, b in zip(rows, want, strict=True))
+        assert work["read"] < work["asked"] or block > 4
+    assert textindex.search(textindex.build(df.where("false")), df.select(F.col("id").alias("query_id"), "text"), 5)[0].count() == 0

@@ -66,3 +66,25 @@ def test_rates_and_limit(spark, sf, tmp_path):
         if want[r["event_id"]]:
             own.append(r["ts"].timestamp())
     assert got == want
+
+
+def test_admission_state(spark, sf, tmp_path):
+    """Two files, two batches, state and timers between them: verdicts and waits are those of one pass over all events."""
+    from veilspark.operators import quota
+    from veilspark.streaming import admission
+
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", admission.PROVIDER)
+    try:
+        events = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 4).cast("string").alias("tenant"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+        folder, cut = str(tmp_path / "in"), events.selectExpr("percentile(unix_micros(ts), 0.5)").first()[0]
+        events.where(F.unix_micros("ts") <= cut).coalesce(1).write.parquet(folder)
+        events.where(F.unix_micros("ts") > cut).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+        found = admission.admission(stream, 3, 43_200.0, late="1 hour")
+        found.writeStream.format("memory").queryName("admission").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        got = sorted(map(tuple, spark.table("admission").select("tenant", "event_id", "admitted", "retry_after").collect()))
+        want = quota.rate_limit(events.withColumnRenamed("tenant", "key"), 3, 43_200.0)
+        assert got == sorted(map(tuple, want.select("key", "event_id", "admitted", "retry_after").collect()))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if kept is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)

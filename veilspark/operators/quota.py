@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,6 +25,25 @@ def admit(times: list[float], held: deque, limit: int, window: float) -> list[tu
     return out
 
 
+def waits(times: list[float], held: list[float], limit: int, window: float) -> list[float | None]:
+    """For each time None if admitted, else how long until the window that is full has room; ``held``, in order, gets the admitted ones.
+
+    Times need not be in order: one that comes late is admitted if no window that it falls into would hold more than ``limit``,
+    which only the ``limit`` admitted times on either side can decide.
+    """
+    out: list[float | None] = []
+    for t in times:
+        p = bisect_right(held, t)
+        held.insert(p, t)
+        full = next((i for i in range(max(0, p - limit), min(p, len(held) - limit - 1) + 1) if held[i + limit] - held[i] < window), None) if limit > 0 else p
+        if full is None:
+            out.append(None)
+        else:
+            del held[p]
+            out.append(window if limit < 1 else max(0.0, (held[full] if full < p else t) + window - t))
+    return out
+
+
 def rate_limit(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
     """``requests(key, event_id, ts)`` with ``admitted`` and ``retry_after``, per key by (ts, event_id).
 

@@ -14,13 +14,11 @@ from pyspark.sql.window import Window
 
 from ..functions import spans as S
 from ..functions.json_text import string_leaves
+from ..operators import textindex
 from ..operators.filters import compile_filter, validate
 from .facts import MAIL, SURE
 from .retrieval import cosine, dot
 
-VECTORS = 500
-
-
 def chunks(spark, d) -> DataFrame:
     """``chunk_id, document, ordinal, content, tenant, dossier, version, acl, v``."""
     c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("document"), F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("content"), F.when(F.col("turn") % 4 == 3, "t1").alias("own_tenant"))
@@ -28,7 +26,7 @@ def chunks(spark, d) -> DataFrame:
         "document", F.concat(F.lit("t"), (F.col("document") % 3).cast("string")).alias("doc_tenant"), (F.col("document") % 4).alias("dossier"), (F.col("document") % 2 + 1).alias("version"),
         F.when(F.col("document") % 5 == 0, '{"share":{"readers":["t1","t9"]},"t1":"key"}').otherwise('{"note":"t1x","t1":["t0"]}').alias("acl"))
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    joined = c.join(docs, "document").withColumn("vec_id", (F.col("document") * 31 + F.col("ordinal")) % VECTORS).join(e, "vec_id")
+    joined = c.join(docs, "document").withColumn("vec_id", (F.col("document") * 31 + F.col("ordinal")) % e.count()).join(e, "vec_id")
     tenant = F.coalesce("own_tenant", "doc_tenant", F.lit("default"))
     return joined.select((F.col("document") * 1000 + F.col("ordinal")).alias("chunk_id"), "document", "ordinal", "content", tenant.alias("tenant"), "dossier", "version", "acl", "v")
 
@@ -150,6 +148,15 @@ def k4_all_terms(spark, d):
     return bm25(chunks(spark, d), "the and of", every=True).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+def k5_indexed(spark, d):
+    """The ten best turns by BM25 for the first eight words of every hundredth conversation, through the stored index."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.array_join(F.slice(textindex.terms_of(F.col("text")), 1, 8), " ")
+    queries = c.where("conv_id % 100 = 0").select(F.col("id").alias("query_id"), words.alias("text"))
+    found, _ = textindex.search(textindex.build(c), queries, 10)
+    return found.select("query_id", "rank", F.col("id").alias("chunk_id"), F.round(F.col("score") / 1e9, 6).alias("score"))
+
+
 def k7_hybrid(spark, d):
     """Ranks of the vector leg and of BM25 fused, twice as deep as the answer."""
     got = retrieve(spark, d, Query(mode="hybrid", vector=7, text="the and thanea", top_k=20, multiplier=2), "t1")
@@ -225,13 +232,13 @@ def k9_max_sim(spark, d):
 
 
 QUERIES = {
-    "k2_distance_scores": k2_scores, "k4_all_terms": k4_all_terms, "k7_hybrid_rrf": k7_hybrid, "k9_max_sim": k9_max_sim, "k12_boundaries": k12_boundaries, "k13_acl_leaves": k13_acl_leaves,
+    "k2_distance_scores": k2_scores, "k4_all_terms": k4_all_terms, "k5_indexed_search": k5_indexed, "k7_hybrid_rrf": k7_hybrid, "k9_max_sim": k9_max_sim, "k12_boundaries": k12_boundaries, "k13_acl_leaves": k13_acl_leaves,
     "k14_inherited_tenants": k14_inherited, "k15_best_per_document": k15_best_per_document, "k17_upsert_documents": k17_upsert, "k24_reembedded": k24_reembedded,
     "k26_side_fields": k26_side_fields, "k27_served_retrieval": k27_served, "k33_metadata_redaction": k33_metadata,
 }
 
 CHUNKS = f"""c AS (SELECT conv_id AS document, turn AS ordinal, coalesce(text, '') AS content, conv_id * 1000 + turn AS chunk_id, conv_id % 4 AS dossier, conv_id % 2 + 1 AS version,
-         CASE WHEN turn % 4 = 3 THEN 't1' ELSE 't' || (conv_id % 3) END AS tenant, conv_id % 5 = 0 AS shared, CAST(embedding AS DOUBLE[]) AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 31 + turn) % {VECTORS}),
+         CASE WHEN turn % 4 = 3 THEN 't1' ELSE 't' || (conv_id % 3) END AS tenant, conv_id % 5 = 0 AS shared, CAST(embedding AS DOUBLE[]) AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 31 + turn) % (SELECT count(*) FROM embeddings)),
   q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7)"""
 
 
@@ -270,4 +277,9 @@ SQL = {
     "k26_side_fields": "SELECT vec_id, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AS sparse_ok, vec_id % 6 <> 0 AS multi_ok FROM embeddings",
     "k27_served_retrieval": f"WITH {CHUNKS}, x AS (SELECT * FROM c WHERE {ALLOWED.format(t='t2')} AND ordinal >= 1), {bm25_sql('x', ['and', 'in', 'of', 'the'])} SELECT chunk_id, md5({mask_sql('content')}) AS content_md5, round(score, 6) AS score FROM bm JOIN x USING (chunk_id) ORDER BY bm.score DESC, chunk_id LIMIT 50",
     "k33_metadata_redaction": """SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN '{"' || CASE WHEN event_id % 2 = 0 THEN '[EMAIL]' ELSE 'owner' END || '":{"to":["[EMAIL]",null]}}' END AS metadata, event_id % 10 <> 3 AS accepted FROM events""",
+    "k5_indexed_search": """WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), t AS (SELECT id, unnest(w) AS term FROM c),
+        f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS len FROM f GROUP BY 1), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+        w AS (SELECT id, term, CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)) * 1e9) AS BIGINT) AS weight FROM f JOIN d USING (term) JOIN l USING (id), s),
+        q AS (SELECT DISTINCT id AS query_id, unnest(w[1:8]) AS term FROM c WHERE conv_id % 100 = 0), r AS (SELECT query_id, id AS chunk_id, sum(weight) AS score FROM q JOIN w USING (term) GROUP BY 1, 2)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(CAST(score AS DOUBLE) / 1e9, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""",
 }

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import spans as S
+from ..operators.quota import waits
 
 
 def documents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 200) -> DataFrame:
@@ -66,14 +67,8 @@ def admitted(events: DataFrame, limit: int, seconds: float = 60.0, late: str = "
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        held, verdicts = sorted(state.get[0]) if state.exists else [], []
-        for at in (t.timestamp() for t in rows["ts"]):
-            # an event that comes late is held against the admitted ones around it, not only those before it
-            around = [x for x in held if abs(at - x) < seconds]
-            full = any(sum(x <= y < x + seconds for y in [*around, at]) > limit for x in [*around, at])
-            verdicts.append(not full)
-            if not full:
-                held.append(at)
+        held = sorted(state.get[0]) if state.exists else []
+        verdicts = [wait is None for wait in waits([t.timestamp() for t in rows["ts"]], held, limit, seconds)]
         newest = max([*held, *(t.timestamp() for t in rows["ts"])])
         behind = newest - late_seconds - seconds
         state.update(([x for x in held if x > behind],))
