@@ -15,15 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
 
-#: Rows in one Arrow batch: texts can be long, so batches stay short.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch: texts can be long, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of a frame; Arrow batches of more than ``ARROW_ROWS`` rows, too many for long texts, are made shorter."""
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """The session of a frame; Arrow batches of more than ``ARROW_ROWS`` rows or ``ARROW_BYTES``, too many for long texts, are made shorter from now on."""
+    spark = df.sparkSession
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        said = spark.conf.get(name)
+        if not (said.isdigit() and 0 < int(said) <= most):
+            spark.conf.set(name, str(most))
     return spark
 
 
