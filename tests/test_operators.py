@@ -304,3 +304,45 @@ def test_text_index(spark, block):
         assert [r[:3] for r in rows] == [r[:3] for r in want] and all(abs(a[3] - b[3]) <= len(queries) for a, b in zip(rows, want, strict=True))
         assert work["read"] < work["asked"] or block > 4
     assert textindex.search(textindex.build(df.where("false")), df.select(F.col("id").alias("query_id"), "text"), 5)[0].count() == 0
+
+
+def test_light_detector(spark):
+    """Every kind against the same expressions in plain Python, in order, with account numbers no phones."""
+    import re
+
+    from veilspark.plans import redaction as R
+
+    rng = random.Random(11)
+    bits = ["call 555-123-4567", "01 23 45 67 89", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "a.b@x.org", "http://a.b/c?d=2024-01-02", "2024-01-02", "1/2/24", "3er Février 2025", "4 december 2024", "5 août 2024", "x5551234567", "+1 (743) 555-3824", ",", "é", "\n", "12.05.2023"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["", None]
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", R.light_spans(F.coalesce(F.col("t"), F.lit(""))).alias("s")).collect()
+    for r in got:
+        t, kept = texts[r["n"]] or "", []
+        accounts = [m.span() for m in re.finditer(R.IBAN, t, re.A)]
+        for kind, (pattern, _) in R.LIGHT.items():
+            for m in re.finditer(pattern, t, re.A):
+                clash = [(a, b) for a, b, k in kept if k != kind] + (accounts if kind == "phone" else [])
+                if not any(m.start() < b and a < m.end() for a, b in clash):
+                    kept.append((*m.span(), kind))
+        assert [(s["start"], s["end"], s["kind"]) for s in r["s"]] == kept, t
+
+
+def test_checks(spark):
+    """Span rules in byte offsets, keyed digests against the standard library, records of any shape."""
+    import hashlib
+    import hmac
+
+    from veilspark.functions import checks
+
+    rows = [("aé😀b", 0, 1, 0.5, "a"), ("aé😀b", 1, 3, 0.5, "é"), ("aé😀b", 2, 3, 0.5, "x"), ("aé😀b", 1, 2, 0.5, "é"), ("aé😀b", 3, 7, 1.0, "😀"), ("aé😀b", 7, 8, 0.0, "b"), ("aé😀b", 7, 9, 0.5, "b"), ("aé😀b", 3, 3, 0.5, ""), ("ab", 0, 1, float("nan"), "a"), ("ab", 0, 1, None, "a"), ("ab", 0, 1, 1.01, "a"), ("ab", 0, 1, 0.5, None), (None, 0, 1, 0.5, "a"), ("ab", None, 1, 0.5, "a"), ("ab", -1, 1, 0.5, "a")]
+    df = spark.createDataFrame(rows, "t string, s int, e int, c double, x string").select(checks.span_problem(*[F.col(k) for k in "tsecx"]).alias("p"))
+    assert [r["p"] for r in df.collect()] == [None, None, "boundary", "boundary", None, None, "bounds", "order", "confidence", "confidence", "confidence", "text", "bounds", "order", "order"]
+    with pytest.raises(Exception, match="invalid span: order"):
+        df.where("p = 'order'").select(checks.enforced(F.col("p"))).collect()
+    for key in (b"k", b"x" * 64, b"long" * 40):
+        for text in ("", "abc", "é" * 100):
+            want = hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+            assert spark.createDataFrame([(text,)], "t string").select(checks.hmac_sha256(F.col("t"), key)).first()[0] == want
+    value = {"id": "X", "kind": ["X", {"kind": "X", "t": "X"}], "a": {"id": {"x": "X"}, "n": 1, "id2": "X"}, "mime_type": "X \" : X", "e": "", "n": None, "l": [[], ["X", "id", "X"]]}
+    out = spark.createDataFrame([(json.dumps(value),)], "j string").select(checks.redacted_record(F.col("j"), lambda x: F.replace(x, F.lit("X"), F.lit("-")))).first()[0]
+    assert json.loads(out) == {"id": "X", "kind": ["-", {"kind": "X", "t": "-"}], "a": {"id": {"x": "-"}, "n": 1, "id2": "-"}, "mime_type": "X \" : X", "e": "", "n": None, "l": [[], ["-", "id", "-"]]}

@@ -135,8 +135,8 @@ def merge(found: Column, model: Column, priority: str = "regex_first", threshold
     """One sequence of spans from patterns and a model.
 
     Sorted by (start, end), each span meets the last one kept. Over ``threshold`` overlap
-    the priority decides which stays: regex_first, higher_confidence (by more than
-    ``margin``) or longer_span; at less overlap the later one goes.
+    the priority decides which stays: regex_first (of one source the more confident by more than ``margin``, or the longer),
+    higher_confidence (by more than ``margin``) or longer_span; at less overlap the later one goes.
     """
 
     def wins(last: Column, s: Column) -> Column:
@@ -144,7 +144,8 @@ def merge(found: Column, model: Column, priority: str = "regex_first", threshold
             return s["confidence"] - last["confidence"] > margin
         if priority == "longer_span":
             return (s["end"] - s["start"]) > (last["end"] - last["start"])
-        return (s["source"] == "regex") & (last["source"] != "regex")
+        stronger = (s["confidence"] - last["confidence"] > margin) | ((s["end"] - s["start"]) > (last["end"] - last["start"]))
+        return F.when(s["source"] == last["source"], stronger).otherwise(s["source"] == "regex")
 
     def step(kept: Column, s: Column) -> Column:
         last = F.try_element_at(kept, F.lit(-1))

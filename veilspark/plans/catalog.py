@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chain, corpus, detection, exports, glossary, graph, listing, mailing, records, redaction, registry, retrieval, search, typed
+from . import chain, corpus, detection, exports, glossary, graph, listing, mailing, records, redaction, registry, retrieval, search, spansuite, typed
 
-MODULES = [detection, chain, corpus, exports, glossary, graph, listing, mailing, records, redaction, registry, retrieval, search, typed]
+MODULES = [detection, chain, corpus, exports, glossary, graph, listing, mailing, records, redaction, registry, retrieval, search, spansuite, typed]
 
 
 def flagship(spark, sf_dir):

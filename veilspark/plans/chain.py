@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import audit
+from ..operators.shared import stored
 from .facts import FACTS, facts
 
 CONFIG, NODE = "c0ffee", "node-1"
@@ -91,7 +92,7 @@ def a9_history(spark, d):
 
 def a11_usage(spark, d):
     """Entries and bytes per principal of the segments opened in a half-open time range; no principal first."""
-    e = entries(spark, d)
+    e = stored(entries(spark, d).select("segment", "timestamp", "principal", "span_length"))
     segments = e.groupBy("segment").agg(F.min("timestamp").alias("opened_at")).where((F.col("opened_at") >= "2024-01-01T00:00:00Z") & (F.col("opened_at") < "2024-01-01T00:08:00Z"))
     used = e.join(segments.select("segment"), "segment", "left_semi").groupBy("principal").agg(F.count("*").alias("n"), F.coalesce(F.sum("span_length"), F.lit(0)).alias("span_bytes"))
     return used.orderBy(F.col("principal").asc_nulls_first())

@@ -220,8 +220,27 @@ def verticals(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("vertical", F.lit(name))
 
 
-# Expressions of the light detector and their confidences.
-LIGHT = {"email": (MAIL, 0.9), "url": (r"https?://[^ \t\r\n]+", 0.9), "date": ("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,2} (?:[Jj]anuary|[Ff]ebruary|[Mm]arch|[Aa]pril|[Mm]ay|[Jj]une|[Jj]uly|[Aa]ugust|[Ss]eptember|[Oo]ctober|[Nn]ovember|[Dd]ecember|janvier|mars|avril|mai|juin|juillet|septembre|octobre|novembre) [0-9]{4}", 0.8)}
+# Month names, expressions of the light detector with their confidences, and the account numbers that are no phones.
+FRENCH_MONTHS = "janvier|f[ée]vrier|mars|avril|mai|juin|juillet|ao[uû]t|septembre|octobre|novembre|d[ée]cembre"
+ENGLISH_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+LIGHT = {
+    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.9),
+    "phone": (r"(?<![A-Za-z0-9])(?:(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b|0\d(?:[-.\s]?\d{2}){4}\b)", 0.8),
+    "url": (r"https?://[^\s]+", 0.9),
+    "date": (rf"(?i)\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}[/.]\d{{1,2}}[/.]\d{{2,4}}\b|\b\d{{1,2}}(?:er)? (?:{FRENCH_MONTHS}|{ENGLISH_MONTHS}) \d{{4}}\b", 0.8),
+}
+IBAN = r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b"
+
+
+def light_spans(text: Column) -> Column:
+    """Spans of the light detector: kinds in order, none overlapping one found before; what lies on an account number is no phone."""
+    made = lambda kind: F.transform(S.located(text, LIGHT[kind][0]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(LIGHT[kind][1]).alias("confidence")))
+    accounts = S.located(text, IBAN)
+    phones = S.let(accounts, lambda a: F.filter(made("phone"), lambda x: ~F.exists(a, lambda p: (x["start"] < p["end"]) & (p["start"] < x["end"]))))
+    kept = apart_from(made("email"), phones)
+    for kind in ("url", "date"):
+        kept = apart_from(kept, made(kind))
+    return kept
 
 
 def apart_from(kept: Column, more: Column) -> Column:
@@ -230,16 +249,11 @@ def apart_from(kept: Column, more: Column) -> Column:
 
 
 def light(spark, d):
-    """The light detector over pages and document texts: kinds in order, none overlapping one found before."""
-    texts = spark.read.parquet(f"{d}/pages.parquet").select(F.concat_ws(" ", F.concat("url", F.lit(" seen")), F.date_format(F.expr("DATE '2024-01-01' + CAST(page_id % 365 AS INT)"), "yyyy-MM-dd")).alias("text")).unionByName(documents(spark, d).select("text"))
-
-    def spans(kind: str) -> Column:
-        return F.transform(S.located(F.col("text"), LIGHT[kind][0]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    kept = spans("email")
-    for kind in ("url", "date"):
-        kept = apart_from(kept, spans(kind))
-    return texts.select(F.explode(kept).alias("s")).groupBy("s.kind").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+    """The light detector over pages (their urls beside a date, a phone and an account number) and document texts."""
+    seen = F.date_format(F.expr("DATE '2024-01-01' + CAST(page_id % 365 AS INT)"), "yyyy-MM-dd")
+    tail = F.concat(F.lit("call 01 23 45 67 "), F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"), F.lit(" on 3er février 2025, account DE89 3704 0044 0532 0130 00"))
+    texts = spark.read.parquet(f"{d}/pages.parquet").select(F.concat_ws(" ", F.concat("url", F.lit(" seen")), seen, tail).alias("text")).unionByName(documents(spark, d).select("text"))
+    return texts.select(F.explode(light_spans(F.col("text"))).alias("s")).groupBy("s.kind").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
 
 
 QUERIES = {
