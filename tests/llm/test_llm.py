@@ -541,8 +541,8 @@ def test_url_held_out(spark):
     held = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(rows) if n % 3 == 0], "page_id int, url string")
     said = {r["page_id"]: r["verdict"] for r in urlfilter.judge(held, train, rules=[]).collect()}
     right = [said[n] == ("block" if y else "allow") for n, (_, y) in enumerate(rows) if n % 3 == 0]
-    print("held-out accuracy", np.mean(right))
-    assert np.mean(right) >= 0.75
+    print("held-out accuracy", np.mean(right), len(right))
+    assert len(rows) == len({u for u, _ in rows}) >= 300 and np.mean(right) >= 0.9
 
 
 def test_quality(spark, docs, empty):

@@ -100,7 +100,24 @@ http://encyclopedia.example.org/wiki/river
 https://trusted-books.example.net/catalogue
 http://adventure-travel.example.org/islands/winter
 """
+# Words of which further labelled URLs are made, subjects and ends of paths of each kind.
+BLOCKED_SUBJECTS = "casino poker slots jackpot betting lottery pills pharmacy viagra replica payday loans crypto-double adult xxx dating cams spam link-farm backlinks popup adtracker warez keygen torrent followers get-rich miracle-diet free-gift claim-prize".split()
+BLOCKED_ENDS = "win bonus free-spins buy-now order cheap discount fast-cash prize click live/hot serial crack get-likes".split()
+ALLOWED_SUBJECTS = "library museum university school hospital railway theatre gardening recipes weather history astronomy chess encyclopedia maps news blog docs research council parks birds cooking language archive forum travel music thorand whither reanth bleared northern ationest southern weaver".split()
+ALLOWED_ENDS = "books guide paper calendar timetable trails planets lessons letters readme grammar species wiki catalogue en/417 de/8812/ fr/61.html es/2045 en/9 en/77310.html".split()
+MADE = 120
+
+
+def made_url(n: int, subjects: list[str], ends: list[str]) -> str:
+    """The n-th labelled URL made of words: each subject meets another end each time round."""
+    subject, end = subjects[n % len(subjects)], ends[(n * 5 + n // len(subjects)) % len(ends)]
+    second = subjects[(n * 7 + 3) % len(subjects)]
+    host = (f"{subject}.example.org", f"www.{subject}-{second}.example.net", f"{second}.{subject}.example.org", f"m.{subject}.example.net")[n % 4]
+    return f"{('http', 'https')[n // 2 % 2]}://{host}/{end}{('', '?page=2', '#top', '?ref=x')[n // 3 % 4]}"
+
+
 LABELLED = [(url, label) for urls, label in ((BLOCKED, 1), (ALLOWED, 0)) for url in urls.split()]
+LABELLED += [(made_url(n, BLOCKED_SUBJECTS, BLOCKED_ENDS), 1) for n in range(MADE)] + [(made_url(n, ALLOWED_SUBJECTS, ALLOWED_ENDS), 0) for n in range(MADE)]
 
 
 def host_of(url: Column) -> Column:
