@@ -268,6 +268,60 @@ def test_planted_passages(spark, joint):
     assert not wrong
 
 
+def plain_chunks(text):
+    """Chunks of a text by plain Python: lines, hashes of neighbours, boundaries; those that go when they repeat, as byte ranges."""
+    raw, starts = text.encode(), [0] if text else []
+    for k in range(1, len(raw)):
+        if raw[k - 1] == 10 or (k > 1 and raw[k - 1] == 32 and raw[k - 2] in b".!?"):
+            starts.append(k)
+    pieces = [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+    mask = 2**64 - 1
+
+    def line_hash(piece):
+        total = 0
+        for n, w in enumerate(piece.split()):
+            one = sum(int(shingles.BYTES[c]) * int(shingles.POWERS[i & 4095]) for i, c in enumerate(w)) & mask
+            total = (total + one * int(shingles.POWERS[n & 4095])) & mask
+        return total if piece.split() else 1
+
+    h = [line_hash(p) for p in pieces]
+    first = [0] + [k for k in range(1, len(h)) if (((h[k - 1] * 0x9E3779B97F4A7C15 + h[k]) * 0xBF58476D1CE4E5B9 & mask) >> 33) % lines.EVERY == 0] if h else []
+    out = []
+    for a, b in zip(first, [*first[1:], len(h)], strict=True):
+        words = sum(len(p.split()) for p in pieces[a:b])
+        written = sum(k == 0 or raw[starts[k] - 1] == 10 for k in range(a, b))
+        if b - a >= lines.LEAST_LINES and (words >= lines.LEAST_WORDS or (written >= lines.LEAST_LINES and words)):
+            inside = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw[starts[a] : starts[b] if b < len(h) else len(raw)]))
+            out.append((starts[a] + inside[0].start(), starts[a] + inside[-1].end()))
+    return out
+
+
+def test_repeated_chunks_go(spark):
+    """Every chunk that an independent chunker finds in an earlier text, or earlier in its own, is gone; short written lines too."""
+    rng = random.Random(21)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 7)))
+    blocks = [[line() + rng.choice([".", "", "!"]) for _ in range(rng.randint(2, 6))] for _ in range(12)] + [["a", "b"], ["x", "", "y"]]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(["\n", " "]).join(rng.choice(blocks)) if rng.random() < 0.6 else "\n".join(line() + "." for _ in range(3)) for _ in range(rng.randint(1, 5))]
+        texts.append("\n".join(parts))
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["_vs_cuts"] or [] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    seen, gone = {}, 0
+    for n, t in rows:
+        raw = t.encode()
+        own = [(a, b) for _, a, b, c, *_ in zip(*lines.found_in(pa.array([t]))) if not c & 1]
+        assert own == plain_chunks(t)
+        for a, b in own:
+            if raw[a:b] in seen:
+                removed = b"".join(raw[x["start"] : x["stop"]] for x in found[n] if x["start"] < b and a < x["stop"])
+                kept = [w for w in re.finditer(rb"\S+", raw[a:b]) if not any(x["start"] <= a + w.start() and a + w.end() <= x["stop"] for x in found[n])]
+                assert removed and not kept, (n, a, b)
+                gone += 1
+            seen.setdefault(raw[a:b], n)
+    assert gone > 20
+
+
 def seed_ranges(text):
     return [(a, b) for _, a, b, c, *_ in zip(*lines.found_in(pa.array([text]))) if c & 1]
 
@@ -570,6 +624,24 @@ def test_sql(spark, sf, name):
     assert rows_of_frame(registry.queries()[name](spark, sf)) == rows_of_sql(connect(sf), registry.oracle_sql()[name])
 
 
+def test_pipeline_of_odd_rows(spark, sf, docs):
+    """Null, empty, very long, repeated rows and columns with clashing names go through all five stages with their columns."""
+    now = docs
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = corpus_pipeline.materialize(stage(spark, now, sf))
+        if n < 4:
+            assert out.columns == docs.columns, name
+            assert out.where("size <> 1 and size is not null").count() == 0
+        if name == "line_dedup":
+            assert out.count() == now.count()
+        now = out
+    assert now.count() > 0 and now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    now = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.materialize(stage(spark, now, sf))
+        assert now.count() == 0, name
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):

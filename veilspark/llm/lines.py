@@ -4,9 +4,9 @@ A text is cut into lines (after each newline, and after each sentence end within
 line, so that a passage set as one paragraph counts as several lines). A rolling
 hash over the hashes of each two neighbouring lines puts a chunk boundary where it is
 a multiple of ``EVERY``: boundaries depend on nearby lines alone and move with them.
-A chunk of ``LEAST_LINES`` lines and ``LEAST_WORDS`` words or more that occurs again
-anywhere is removed, after its bytes have been compared with those of its first
-occurrence, which stays.
+A chunk of ``LEAST_LINES`` lines or more that occurs again anywhere is removed, after its bytes have been compared
+with those of its first occurrence, which stays. Where fewer than that many of its lines end with a newline, so
+that it is a lines' worth of short sentences, it must have ``LEAST_WORDS`` words.
 
 Such chunks miss passages that hold none of them whole, so a rolling hash over words
 gives seeds as well: of each ``REACH`` neighbouring runs of ``GRAM`` words the one with
@@ -63,8 +63,11 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return x
 
 
-def chunk_spans(buf: np.ndarray, ends: np.ndarray, words: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and hash of the chunks that are removed when they repeat; ``words`` are the starts of words, ``bare`` their hashes."""
+def chunk_spans(buf: np.ndarray, ends: np.ndarray, words: np.ndarray, word_ends: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of the first word, stop of the last and hash of the chunks that are removed when they repeat; words begin at ``words``, their hashes are ``bare``.
+
+    Boundaries depend on words alone, a chunk's hash also on the white space between its words: chunks that differ in it have first occurrences of their own.
+    """
     at = line_starts(buf, ends)
     if not len(words):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -80,10 +83,21 @@ def chunk_spans(buf: np.ndarray, ends: np.ndarray, words: np.ndarray, bare: np.n
         roll = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
         first = np.flatnonzero(np.concatenate(([True], new[1:] | ((roll >> np.uint64(33)) % np.uint64(EVERY) == 0))))
         number = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
-        whole = H.mixed(np.add.reduceat(H.mixed(h) * H.POWERS[number & 4095], first))
-    start, stop = at[first], np.append(at[first[1:]], len(buf))
-    use = (np.diff(first, append=len(at)) >= LEAST_LINES) & (np.add.reduceat(n_words, first) >= LEAST_WORDS)
-    return start[use], stop[use], whole[use] & np.uint64(2**64 - 2)
+        gap = np.zeros(len(words), np.uint64)
+        gap[:-1] = GAPS[buf[word_ends[:-1]]] * (words[1:] - word_ends[:-1]).astype(np.uint64) + H.mixed(GAPS[buf[words[1:] - 1]])
+        bounds = np.append(begin[first], len(words))
+        held = bounds[1:] > bounds[:-1]
+        gap[bounds[1:][held] - 1] = 0  # what follows a chunk's last word is none of it
+        place = np.arange(len(words)) - np.repeat(bounds[:-1][held], np.diff(bounds)[held])
+        between = np.zeros(len(first), np.uint64)
+        between[held] = np.add.reduceat(gap * H.POWERS[place & 4095], bounds[:-1][held])
+        whole = H.mixed(np.add.reduceat(H.mixed(h) * H.POWERS[number & 4095], first) + between)
+    own_line = buf[np.maximum(at, 1) - 1] == 10
+    own_line[np.searchsorted(at, ends[:-1][ends[:-1] < len(buf)])] = True
+    words_in = np.add.reduceat(n_words, first)
+    plain = (np.add.reduceat(own_line.astype(np.int64), first) >= LEAST_LINES) & (words_in > 0)
+    use = (np.diff(first, append=len(at)) >= LEAST_LINES) & (plain | (words_in >= LEAST_WORDS))
+    return words[bounds[:-1][use]], word_ends[bounds[1:][use] - 1], whole[use] & np.uint64(2**64 - 2)
 
 
 def seed_spans(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +126,7 @@ def found_in(column: pa.Array) -> tuple[np.ndarray, ...]:
     buf, ends = H.buffer(column)
     start, stop, doc = H.word_bounds(buf, ends)
     bare = H.word_hashes(buf, start)
-    low, high, chunk = chunk_spans(buf, ends, start, bare)
+    low, high, chunk = chunk_spans(buf, ends, start, stop, bare)
     seed, h = seed_spans(buf, start, stop, doc, bare)
     first, last = np.searchsorted(start, low), np.searchsorted(start, high)
     first, words = np.concatenate((first, seed)), np.concatenate((last - first, np.full(len(seed), GRAM)))
@@ -205,7 +219,7 @@ def equal_runs(buf: np.ndarray, ours: np.ndarray, low: int, other: np.ndarray, s
     step = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
     theirs = ~H.WHITE[other]
     pairs = step.reshape(-1, 2) + a
-    pairs = pairs[(pairs[:, 1] - pairs[:, 0] >= 2 * LEAST_WORDS - 1) | (pairs[:, 0] == a) | (pairs[:, 1] == b)]
+    pairs = pairs[(pairs[:, 1] - pairs[:, 0] >= 2 * LEAST_LINES - 1) | (pairs[:, 0] == a) | (pairs[:, 1] == b)]
     inside = lambda kind, k: 0 < k < len(kind) and kind[k - 1] and kind[k]
     out = []
     for x, y in pairs.tolist():
@@ -288,7 +302,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     The first occurrence is that of the least (doc_id, hash of the text, position), null ids first; a passage may
     also repeat within one text. Rows with the same id and text are one document: they share a decision and none is
     the other's repeat. Null and empty texts stay as they are; rows are all kept; an empty table stays empty. Chunks of
-    fewer than ``LEAST_LINES`` lines or ``LEAST_WORDS`` words go only as part of a passage of ``PASSAGE`` words.
+    fewer than ``LEAST_LINES`` lines, or of fewer written lines and ``LEAST_WORDS`` words, go only as part of a passage of ``PASSAGE`` words.
     """
     session(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
