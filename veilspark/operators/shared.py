@@ -37,3 +37,9 @@ def stored(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """With a broadcast hint if it has at most ``rows`` rows, else as it is: a larger table is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer pieces than there are task slots, dealt to all of them; a larger one is read as it lies, without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import validators as V
 from ..functions.patterns import ALIASES, PATTERNS
+from ..operators.shared import spread
 
 
 def docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def detected(spark, d):
@@ -19,8 +20,11 @@ def detected(spark, d):
 
 
 def entities(spark, d):
-    """One row per span with its text."""
-    rows = detected(spark, d).select("doc_id", "source", "text", F.posexplode("spans").alias("n", "s"))
+    """One row per span with its text.
+
+    The outer form keeps Spark from testing the spans before it unfolds them, which would detect them twice.
+    """
+    rows = detected(spark, d).select("doc_id", "source", "text", F.posexplode_outer("spans").alias("n", "s")).where("n is not null")
     return rows.select("doc_id", "source", "n", "s.*", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"))
 
 

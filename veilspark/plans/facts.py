@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions.patterns import Pattern
+from ..operators.shared import spread
 
 MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 IP = "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"
@@ -22,7 +23,7 @@ SURE = [Pattern("email", MAIL, "[EMAIL]"), Pattern("ip_address", IP, "[IP]")]
 
 
 def documents(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("default")).alias("tenant"))
+    return spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("default")).alias("tenant"))
 
 
 def confidence(category: Column, surface: Column) -> Column:
@@ -35,7 +36,8 @@ def facts(spark, d) -> DataFrame:
         return F.transform(S.located(F.col("text"), pattern), lambda m: F.struct(F.lit(kind).alias("category"), m["text"].alias("surface"), m["start"].alias("start"), m["end"].alias("end")))
 
     found = F.concat(*[spans(k, p) for k, p in KINDS.items()])
-    rows = documents(spark, d).select("doc_id", "tenant", F.explode(found).alias("f")).select("doc_id", "tenant", "f.*")
+    # the outer form: else Spark would test the spans before it unfolds them, and find them twice
+    rows = documents(spark, d).select("doc_id", "tenant", F.explode_outer(found).alias("f")).where("f is not null").select("doc_id", "tenant", "f.*")
     return rows.withColumn("confidence", confidence(F.col("category"), F.col("surface")))
 
 

@@ -97,7 +97,7 @@ def nested_json(spark, d):
 
 def findings(spark, d):
     """Spans to redact: capitalised words of eight letters or more; those of even first letters have tokens, the rest masks."""
-    t = documents(spark, d).select("doc_id", F.explode(S.located(F.col("text"), "[A-Z][a-z]{7,}")).alias("m")).select("doc_id", "m.*")
+    t = documents(spark, d).select("doc_id", F.explode_outer(S.located(F.col("text"), "[A-Z][a-z]{7,}")).alias("m")).where("m is not null").select("doc_id", "m.*")
     tok = F.concat(F.lit("[PERSON:k1:"), F.upper(F.translate(F.left(F.md5("text"), F.lit(8)), "0189", "GHJK")), F.lit("]"))
     return t.select("doc_id", F.col("text").alias("surface"), "start", "end", F.when(F.ascii("text") % 2 == 0, tok).otherwise("[PERSON]").alias("template"))
 
@@ -253,7 +253,7 @@ def light(spark, d):
     seen = F.date_format(F.expr("DATE '2024-01-01' + CAST(page_id % 365 AS INT)"), "yyyy-MM-dd")
     tail = F.concat(F.lit("call 01 23 45 67 "), F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"), F.lit(" on 3er février 2025, account DE89 3704 0044 0532 0130 00"))
     texts = spark.read.parquet(f"{d}/pages.parquet").select(F.concat_ws(" ", F.concat("url", F.lit(" seen")), seen, tail).alias("text")).unionByName(documents(spark, d).select("text"))
-    return texts.select(F.explode(light_spans(F.col("text"))).alias("s")).groupBy("s.kind").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+    return texts.select(F.explode_outer(light_spans(F.col("text"))).alias("s")).where("s is not null").groupBy("s.kind").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
 
 
 QUERIES = {
