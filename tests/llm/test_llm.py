@@ -619,6 +619,51 @@ def test_quality(spark, docs, empty):
     assert quality.classify(docs, mixed).count() == docs.count()
 
 
+def test_cotraining_by_a_plain_loop(spark):
+    """The distributed rounds give what a loop over all rows in memory gives: views, pseudo-labels, calibration and combination."""
+    sf = "/root/testdata/sf0.01"
+    docs_, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: (r["_vs_content"], r["_vs_meta"], r["_vs_quality"]) for r in quality.classify(docs_.repartition(7), labels).collect()}
+    truth = {r["doc_id"]: float(r["quality"]) for r in labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null").collect()}
+    quarter = {r["doc_id"]: r["q"] for r in docs_.select("doc_id", F.pmod(F.xxhash64(F.lit("quarter"), "doc_id"), F.lit(4)).alias("q")).collect()}
+    rows = docs_.collect()
+    view = [np.array([f(r) for r in rows], np.float32).astype(float) for f in (lambda r: quality.content_features((r["text"] or "").encode()), lambda r: quality.meta_features((r["text"] or "").encode(), r["lang"], r["source"], r["n_chars"]))]
+    y = np.array([truth.get(r["doc_id"], np.nan) for r in rows])
+    role = np.array(["open" if r["doc_id"] not in truth else {0: "platt", 1: "both"}.get(quarter[r["doc_id"]], "train") for r in rows])
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+
+    def step(x, label, count, w):
+        p = logistic(np.clip(x @ w, -30, 30))
+        pull, bend = -w, np.eye(len(w))
+        for xi, li, ci, pi in zip(x, label, count, p, strict=True):
+            pull = pull + ci * (li - pi) * xi
+            bend = bend + ci * pi * (1 - pi) * np.outer(xi, xi)
+        return w + np.linalg.solve(bend, pull)
+
+    def fitted(x, label):
+        w = np.zeros(x.shape[1])
+        for _ in range(12):
+            w = step(x, label, np.ones(len(label)), w)
+        return w
+
+    models = [fitted(x[role == "train"], y[role == "train"]) for x in view]
+    for _ in range(quality.ROUNDS):
+        sure = [logistic(np.clip(x @ w, -30, 30)) for x, w in zip(view, models, strict=True)]
+        after = []
+        for k in (0, 1):
+            other = sure[1 - k]
+            told = (role == "train") | ((role == "open") & (np.maximum(other, 1 - other) >= quality.SURE))
+            label = np.where(role == "train", y, other >= 0.5)
+            after.append(step(view[k][told], label[told], np.where(role == "train", 1.0, quality.PSEUDO_WEIGHT)[told], models[k]))
+        models = after
+    odds = [np.clip(x @ w, -12, 12) for x, w in zip(view, models, strict=True)]
+    line = [fitted(np.stack((np.ones(len(rows)), o), 1)[role == "platt"], y[role == "platt"]) for o in odds]
+    odds = [c[0] + c[1] * o for c, o in zip(line, odds, strict=True)]
+    both = fitted(np.stack((np.ones(len(rows)), *odds), 1)[role == "both"], y[role == "both"])
+    want = np.stack((logistic(odds[0]), logistic(odds[1]), logistic(both[0] + both[1] * odds[0] + both[2] * odds[1])), 1)
+    assert (role == "open").sum() > 100 and max(abs(want[n] - np.array(got[r["doc_id"]])).max() for n, r in enumerate(rows)) < 1e-6
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf, name):
     assert rows_of_frame(registry.queries()[name](spark, sf)) == rows_of_sql(connect(sf), registry.oracle_sql()[name])
