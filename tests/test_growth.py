@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from veilspark.functions import spans as S
+from veilspark.operators import related
 from veilspark.plans import corpus
 
 
@@ -40,3 +41,12 @@ def test_located_copies_little(spark):
 
     seconds(1000)
     assert seconds(40_000) < 10  # over a minute with one pass that appends
+
+
+def test_related_reads_little_of_common_entities(spark):
+    """Documents of one group share rare names and a name of a third of all: that one is not read once for each of them."""
+    rows = [(k, f"g{k // 8}") for k in range(2400)] + [(k, f"h{k // 8}") for k in range(2400)] + [(k, "common") for k in range(0, 2400, 3)]
+    frame, work = related.related(spark.createDataFrame(rows, "doc long, term string"), 2400, 2)
+    got = {(r["doc"], r["other"]): list(r["shared"]) for r in frame.collect()}
+    assert len(got) == 4800 and got[0, 3] == ["g0", "h0", "common"] and got[0, 6] == ["g0", "h0", "common"]
+    assert "Join" in plan(frame) and work["postings"] < 60_000  # all pairs of the common name are 640,000
