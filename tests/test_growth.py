@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import spans as S
 from veilspark.operators import related
-from veilspark.plans import corpus
+from veilspark.plans import corpus, mailing
 
 
 def plan(df):
@@ -55,3 +55,9 @@ def test_related_reads_little_of_common_entities(spark):
 def test_overlap_counts_in_batches(spark, sf):
     found = corpus.overlap_cases(spark, sf)
     assert found.count() > 0 and "FlatMapGroupsInPandas" not in plan(found)
+
+
+def test_mail_is_read_once(spark, sf):
+    """Parsing, redaction and detection of a message happen once, whatever the number of tables made of it."""
+    found = mailing.m4_pipeline(spark, sf)
+    assert found.count() > 0 and "MapInPandas" not in plan(found) and "mailbox" not in plan(found)
