@@ -54,11 +54,11 @@ def redacted_record(json: Column, change: Callable[[Column], Column], keep: tupl
     written = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     names = [f'"{k}":' for k in keep]
 
-    def rebuilt(found: Column) -> Column:
-        gaps = F.split(J.marked(json), J.LITERAL, -1)
+    def rebuilt(found: Column, gaps: Column) -> Column:
         # a kept value follows its key directly: between them there is nothing, or white space
         held = lambda i: F.coalesce(F.get(found, i - 1).isin(*names), F.lit(False)) & (F.trim(F.get(gaps, i)) == "")
-        new = F.transform(found, lambda x, i: F.when(x.endswith(":") | held(i), J.unmarked(x)).otherwise(written(change(J.value(x)))))
+        new = F.transform(found, lambda x, i: F.when(x.endswith(":") | held(i), J.unmarked(x)).otherwise(S.let(J.value(x), lambda v: written(change(v)))))
         return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), new, lambda g, x: F.concat(g, x)), ""), F.element_at(gaps, -1))
 
-    return S.let(J.literals(json), rebuilt)
+    # both lists once for a record: named in a lambda, they would be cut again for every string of it
+    return S.let(F.struct(J.literals(json).alias("found"), F.split(J.marked(json), J.LITERAL, -1).alias("gaps")), lambda c: rebuilt(c["found"], c["gaps"]))
