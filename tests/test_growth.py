@@ -1,12 +1,13 @@
 """Queries whose work must grow no faster than their input."""
 
+import hashlib
 import re
 import time
 
 from pyspark.sql import functions as F
 
 from veilspark.functions import spans as S
-from veilspark.operators import related
+from veilspark.operators import linking, related
 from veilspark.plans import corpus, mailing
 
 
@@ -72,3 +73,24 @@ def test_line_diff_batches_are_short(spark, sf):
         assert int(spark.conf.get(name)) <= 500
     finally:
         spark.conf.set(name, before)
+
+
+def test_many_terms_read_texts_once(spark):
+    """More terms than one automaton takes: no automaton of all, no pass for each list; long terms of one beginning, short ones, ids beyond 2^53."""
+    long = "Somewhere Beyond The Rivers And The Hills Of The North "
+    terms = [f"Name{k} of" for k in range(60)] + [long + x for x in ("a", "b", "ü")] + ["a", "é", "Name1", "😀 x"]
+    texts = [f"Name{k} of {long}{'abü'[k % 3]} Name1 of é😀 xName{k + 7} of" for k in range(50)] + ["", None, "nothing here"]
+    rows = [(2**60 + n, t) for n, t in enumerate(texts)] + [(None, texts[0]), (2**60, texts[0])]
+    found = linking.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string"), most=3)
+    got = sorted((str(r["doc_id"]), r["text"], str([tuple(m) for m in r["links"]])) for r in found.collect())
+    assert got == sorted((str(d), t or "", str(linking.plain_links(t or "", terms))) for d, t in rows)
+    assert "FlatMapCoGroupsInArrow" in plan(found) and "Union" not in plan(found)
+
+
+def test_rendering_is_linear(spark):
+    """Pieces of a text are cut once, not found from its beginning for each link."""
+    df = spark.createDataFrame([(1, "Ann of " * 40_000)], "doc_id long, text string")
+    shown = linking.linked(df, spark.createDataFrame([("Ann",)], "term string")).select(*[F.md5(linking.rendered(s)).alias(s) for s in linking.STYLES])
+    began = time.time()
+    assert shown.first()["wiki"] == hashlib.md5(("[[Ann]] of " * 40_000).encode()).hexdigest()
+    assert time.time() - began < 15 and "substring" not in plan(shown)

@@ -1,8 +1,9 @@
-"""Links of glossary terms in texts, by an Aho-Corasick automaton over all terms.
+"""Links of glossary terms in texts, by Aho-Corasick automata.
 
-The automaton is built once per worker from a broadcast list of terms and reads each text once, whatever
-the number of terms. A list of more than ``most`` terms is dealt to several automata, which are
-broadcast one after the other; what they find is put together by text.
+Up to ``most`` terms make one automaton, built once per worker from a broadcast list. More terms are never in one
+place: texts are cut into chunks of about ``CHUNK`` bytes, a chunk's windows that pass two small bit tables of all terms give hashes, these are joined
+with the terms' own hashes, and each chunk meets an automaton of the terms joined to it. The tables only spare rows of that
+join, and the automaton compares characters, so equal hashes of different strings change nothing. Each text is searched once, whatever the number of terms.
 """
 
 from __future__ import annotations
@@ -11,14 +12,21 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import short_batches, stored
 
 LINKS = "array<struct<start:int,end:int,term:string>>"
-MOST_TERMS = 200_000
+MOST_TERMS = 50_000
+#: Bytes and rows of a chunk of texts.
+CHUNK, CHUNK_ROWS = 1 << 20, 20_000
+#: Bytes of a term by which it is first known, most bytes that are hashed, and binary logarithms of the sizes of both tables (most bits of the second).
+HEAD, LONGEST, HEADS, FEWEST_BITS, MOST_BITS = 6, 48, 20, 16, 26
 STYLES = ("markdown", "html", "wiki")
 
 _BUILT: dict[str, ahocorasick.Automaton] = {}
@@ -28,14 +36,18 @@ def automaton(name: str, terms: list[str]) -> ahocorasick.Automaton:
     """This worker's automaton of a list of terms; the last one built is kept."""
     if name not in _BUILT:
         _BUILT.clear()
-        built = ahocorasick.Automaton()
-        for t in terms:
-            built.add_word(t, t)
-        built.make_automaton()
-        _BUILT[name] = built
+        _BUILT[name] = built_of(terms)
     return _BUILT[name]
 
 
+def built_of(terms: list[str]) -> ahocorasick.Automaton:
+    built = ahocorasick.Automaton()
+    for t in terms:
+        built.add_word(t, t)
+    built.make_automaton()
+    return built
+
+
 def occurrences(built: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str]]:
     """Start, end and term of every literal occurrence; those of one term do not overlap each other."""
     out, last = [], {}
@@ -61,42 +73,148 @@ def chosen(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def linked(docs: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """``docs(doc_id, text)`` with ``links`` (start and end in code points, term): occurrences of ``terms(term)``, earliest, then longest.
 
-    A term is any string, of several words and marks too; null and empty terms are none. Null text counts as empty. Rows of one id and
-    text have the same links, and come back as often as they came.
+    ``gaps`` are the pieces of the text before, between and after its links. A term is any string, of several words and marks too; null and
+    empty terms are none. Null text counts as empty. Rows of one id and text have the same links, and come back as often as they came.
     """
-    spark = docs.sparkSession
-    own = terms.where("term <> ''").select("term").distinct()
-    parts = max(1, -(-own.count() // most))
+    short_batches(docs.sparkSession)
+    own = stored(terms.where("term <> ''").select("term").distinct())
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if parts == 1:
-        found = matches(spark, texts, own, "whole", True)
-    else:
-        dealt = stored(own.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts))))
-        keyed = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-        each = [matches(spark, keyed.select("doc_id", "text"), dealt.where(F.col("part") == k), f"part {k}", False) for k in range(parts)]
-        union = each[0]
-        for more in each[1:]:
-            union = union.unionByName(more)
-        merge = F.pandas_udf(lambda s: pd.Series([chosen([(m["start"], m["end"], m["term"]) for m in x]) for x in s]), LINKS)
-        put = union.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.flatten(F.collect_list("links")).alias("links"))
-        put = put.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), merge("links").alias("links"))
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k"))
-        found = texts.join(put, same).select("doc_id", "text", "links")
-    return found
-
-
-def matches(spark, texts: DataFrame, terms: DataFrame, name: str, choose: bool) -> DataFrame:
-    """``doc_id, text, links`` by one automaton of ``terms``, which the caller has bounded."""
-    listed = spark.sparkContext.broadcast([r["term"] for r in terms.select("term").collect()])
-    name = f"{name} {listed.id if hasattr(listed, 'id') else id(listed)}"
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return matches(texts, own) if own.count() <= most else met(texts, own)
+
+
+def with_links(doc_ids, texts, built: ahocorasick.Automaton) -> dict:
+    """Columns ``doc_id, text, links, gaps`` of some texts."""
+    start, end, term, gaps, ends, cuts = [], [], [], [], [0], [0]
+    for text in texts.to_pylist():
+        cursor = 0
+        for a, b, t in chosen(occurrences(built, text)):
+            start.append(a)
+            end.append(b)
+            term.append(t)
+            gaps.append(text[cursor:a])
+            cursor = b
+        gaps.append(text[cursor:])
+        ends.append(len(start))
+        cuts.append(len(gaps))
+    each = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(term, pa.string())], ["start", "end", "term"])
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for at, x in ((ends, each), (cuts, pa.array(gaps, pa.string())))]
+    return {"doc_id": doc_ids, "text": texts, "links": lists[0], "gaps": lists[1]}
+
+
+def linked_schema(texts: DataFrame) -> str:
+    return f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, links {LINKS}, gaps array<string>"
+
+
+def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, text, links, gaps`` by one automaton of ``terms``, which the caller has bounded."""
+    listed = texts.sparkSession.sparkContext.broadcast([r["term"] for r in terms.collect()])
+    name = f"{listed.id if hasattr(listed, 'id') else id(listed)}"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = automaton(name, listed.value)
         for batch in batches:
-            found = (occurrences(built, t) for t in batch["text"])
-            yield batch.assign(links=[chosen(m) if choose else m for m in found])
+            yield pa.RecordBatch.from_pydict(with_links(batch.column("doc_id"), batch.column("text"), built))
+
+    return texts.mapInArrow(each, linked_schema(texts))
+
+
+class Windows:
+    """Hashes of any windows of one string of bytes."""
+
+    POWER = 0x9E3779B97F4A7C15
+    UNDO = pow(POWER, -1, 1 << 64)
+    _steps: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __init__(self, data: bytes):
+        self.size = len(data)
+        if len(Windows._steps[0]) < self.size + 1:
+            Windows._steps = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.size + (self.size >> 2), x, np.uint64)]) for x in (self.POWER, self.UNDO))
+        terms = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * Windows._steps[0][: self.size]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+
+    def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        h = (self.sums[start + length] - self.sums[start]) * Windows._steps[1][start] + np.asarray(length).astype(np.uint64)
+        for shift in (32, 29):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def candidates(data: bytes, lengths: list[int], heads: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of the given lengths that pass the tables: all those of terms are among them."""
+    windows, found = Windows(data), []
+    at = np.arange(max(0, windows.size - HEAD + 1))
+    kinds = heads[windows.at(at, HEAD) >> np.uint64(64 - HEADS)]
+    at = at[kinds != 0]
+    kinds = kinds[kinds != 0]
+    for n in lengths:
+        some = np.arange(max(0, windows.size - n + 1)) if n < HEAD else at[(kinds >> np.uint64(n)) & np.uint64(1) != 0]
+        h = windows.at(some[some + n <= windows.size], n)
+        slot = h & np.uint64(64 * len(bits) - 1)
+        found.append(np.unique(h[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0]))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def met(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, text, links, gaps``, each chunk of texts by an automaton of the terms whose hashes are those of its windows."""
+    spark = texts.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.encode() for t in batch.column("term").to_pylist()]
+            size = np.array([len(x) for x in raw], np.int64)
+            n, windows = np.minimum(size, LONGEST), Windows(b"".join(raw))
+            first = np.cumsum(size) - size
+            head = np.where(n < HEAD, -1, (windows.at(first, np.minimum(n, HEAD)) >> np.uint64(64 - HEADS)).astype(np.int64))
+            yield pa.RecordBatch.from_pydict({"term": batch.column("term"), "n": pa.array(n), "head": pa.array(head), "h": pa.array(windows.at(first, n).view(np.int64))})
+
+    keyed = stored(terms.mapInArrow(hashed, "term string, n long, head long, h long"))
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())
+    size = 1 << min(max((16 * keyed.count()).bit_length(), FEWEST_BITS), MOST_BITS)
+
+    def table(rows: DataFrame, slot: Column, bit: Column, slots: int) -> np.ndarray:
+        """``slots`` words of 64 bits, whatever the number of rows."""
+        got = rows.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("word")).toArrow()
+        out = np.zeros(slots, np.int64)
+        out[got.column("slot").to_numpy()] = got.column("word").to_numpy()
+        return out.view(np.uint64)
+
+    word = F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6)
+    tables = spark.sparkContext.broadcast((table(keyed.where("head >= 0"), F.col("head"), F.col("n"), 1 << HEADS), table(keyed, word, F.col("h").bitwiseAND(F.lit(63)), size // 64)))
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def made() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            texts = whole.column("text").combine_chunks()
+            found = candidates("\n".join(texts.to_pylist()).encode(), lengths, *tables.value)
+            ends = np.full(len(texts) + 1, len(found), np.int32)
+            ends[0] = 0
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))
+            return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(texts), number)), "doc_id": whole.column("doc_id").combine_chunks(), "text": texts, "hashes": hashes})
+
+        for batch in batches:
+            start = 0
+            for k, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                size, rows = size + n, rows + 1
+                if size >= CHUNK or rows >= CHUNK_ROWS:
+                    held.append(batch.slice(start, k + 1 - start))
+                    yield made()
+                    number, held, size, rows, start = number + 1, [], 0, 0, k + 1
+            if start < len(batch):
+                held.append(batch.slice(start))
+        if held:
+            yield made()
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    chunks = stored(texts.mapInArrow(chunked, f"chunk long, doc_id {kind}, text string, hashes array<long>"))
+    own = chunks.select(F.col("chunk").alias("part"), F.explode("hashes").alias("h")).join(keyed.select("h", "term"), "h").select("part", "term")
+
+    def each(rows: pa.Table, known: pa.Table) -> pa.Table:
+        built = built_of(known.column("term").to_pylist())
+        return pa.table(with_links(rows.column("doc_id").combine_chunks(), rows.column("text").combine_chunks(), built))
 
-    return texts.mapInPandas(each, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, links {LINKS}")
+    return chunks.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(own.groupBy("part")).applyInArrow(each, linked_schema(texts))
 
 
 def anchor(term: Column) -> Column:
@@ -118,8 +236,8 @@ def link(term: Column, style: str) -> Column:
 
 def rendered(style: str) -> Column:
     """The text of a ``linked`` row with its links written in a style."""
-    after = F.transform("links", lambda m, i: F.concat(link(m["term"], style), F.substring("text", m["end"] + 1, F.coalesce(F.get("links", i + 1)["start"], F.char_length("text")) - m["end"])))
-    return F.concat(F.substring(F.col("text"), F.lit(1), F.coalesce(F.get("links", F.lit(0))["start"], F.char_length("text"))), F.array_join(after, ""))
+    after = F.transform("links", lambda m, i: F.concat(link(m["term"], style), F.get("gaps", i + 1)))
+    return F.concat(F.get("gaps", F.lit(0)), F.array_join(after, ""))
 
 
 def plain_links(text: str, terms: list[str]) -> list[tuple[int, int, str]]:
