@@ -697,3 +697,26 @@ def test_pipeline(spark, sf):
             assert out.count() == out.join(docs.select("doc_id"), "doc_id", "left_semi").count() <= docs.count()
         docs = out
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_similar_texts_meet_in_the_grid(spark):
+    """Fingerprints within two bits meet through cells of their popcount embedding, a crowd makes no square of pairs, and fingerprints are those of the sets."""
+    H, rng = shingles, random.Random(5)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows, pairs = [], set()
+    for k in range(60):  # far from each other by chance, two within two bits each, and a copy of the fingerprint
+        x = rng.getrandbits(64)
+        y = x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        rows += [(3 * k, signed(x)), (3 * k + 1, signed(y)), (3 * k + 2, signed(x))]
+        pairs |= {frozenset((3 * k, 3 * k + 2))} | ({frozenset((3 * k, 3 * k + 1))} if x != y else set())
+    crowd = [(1000 + n, signed(1 << a | 1 << b)) for n, (a, b) in enumerate((a, b) for a in range(64) for b in range(a))]
+    found = similar.grid_pairs(spark.createDataFrame(rows + crowd, "node long, fp long")).collect()
+    assert {frozenset((r["a"], r["b"])) for r in found if r["b"] < 1000 or r["a"] < 1000} >= pairs
+    assert len(found) <= 34 * (len(rows) + len(crowd)) and all(r["a"] != r["b"] for r in found)
+    texts = pa.array([" ".join(rng.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 1, 7, 300, 90_000)], pa.binary())
+    doc, token = H.split(H.token_sets(texts, 5))
+    want = []
+    for k in range(len(texts)):
+        h = H.mixed(token[doc == k].astype(np.uint64) & np.uint64(2**48 - 1))
+        want.append(signed(sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))))
+    assert similar.set_fingerprints(doc, token, len(texts)).tolist() == want

@@ -8,12 +8,17 @@ so the Manhattan distance of two embeddings is never above the number of differi
 which for linked texts is at most (1 - s) / (1 + s) of all: pairs beyond that bound go
 unread, all others have their sets of shingles compared.
 
-Cells in which pairs meet are shingles. Of a text with n shingles the first
+Pairs meet in a grid first: a 64-bit SimHash of the set of shingles is embedded as the bit counts of its segments, it occupies its own unit
+cell and the neighbours, each text meets the least fingerprint of each of its cells if at most two bits differ, and of texts of one
+fingerprint each meets the least. Linked texts may differ in more than two bits, about ten at a similarity of 0.8, so the rest follows, exact, for texts that the grid
+has not joined.
+
+Cells in which the rest meets are shingles. Of a text with n shingles the first
 n - ceil(s n) + 1, in an order that all texts share, are enough: linked texts have one of
 those in common. The order takes shingles of overfull hash buckets last, counted
 over all texts in one small table, so that common phrases make no large cells.
 
-No cell makes all pairs of a large group. First each text meets the cell's least text
+No cell makes all pairs of a large group. Each text meets the cell's least text
 only, and components of the links found are joined. Pairs of texts that are
 apart after that are compared in full: cells of up to ``CROWD`` texts by pairs, larger
 ones in blocks of bounded size that yield at most a spanning forest of their links.
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as H
 from .common import WORD, components, materialize, session, small
+from .simhash import grid_cells
 
 PER_SEGMENT, LEAST_SEGMENTS = 8, 32
 #: Shingles in a hash bucket, as far as the largest table allows.
@@ -38,6 +44,8 @@ FULL, MOST_BUCKETS, PACKED = 1024, 1 << 20, 1024
 CROWD = 32
 #: Most shingles and texts of a block, tokens multiplied at once, pairs counted at once, pairs of a token that is not multiplied, and texts linked at once.
 BLOCK_TOKENS, BLOCK_TEXTS, STRIP, PAIRS, FEW, ROWS = 100_000, 2_000, 2_048, 1_000_000, 64, 256
+#: Bits in which fingerprints that meet in the grid differ at most, and shingles counted into fingerprints at once.
+NEAR_BITS, COUNTED = 2, 1 << 16
 #: Texts that one copy of their common neighbour is compared with.
 MEMBERS = 128
 #: Rows of a key table that is broadcast; a larger one is joined by a shuffle.
@@ -77,8 +85,20 @@ def bucket_classes(docs: DataFrame, width: int) -> np.ndarray:
     return np.minimum(15, np.ceil(np.log2(1 + excess))).astype(np.uint8)
 
 
+def set_fingerprints(doc: np.ndarray, token: np.ndarray, many: int) -> np.ndarray:
+    """The 64-bit fingerprint of each text's set of shingles: a bit is set if it is in over half of their hashes; zero without shingles."""
+    ones, n = np.zeros((many, 64), np.int64), np.bincount(doc, minlength=many)
+    for at in range(0, len(doc), COUNTED):
+        own = doc[at : at + COUNTED]
+        h = H.mixed((token[at : at + COUNTED] & (2 ** (H.TOKEN_BITS - 4) - 1)).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def signatures(docs: DataFrame, width: int, similarity: float, classes: np.ndarray) -> DataFrame:
-    """``docs(doc_id, text)`` as ``doc_id, body, node, n, counts, prefix``: hash, number of shingles, embedding and first shingles."""
+    """``docs(doc_id, text)`` as ``doc_id, body, node, n, counts, prefix, fp``: hash, number of shingles, embedding, first shingles and fingerprint."""
     wordless = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0
     own = docs.select("doc_id", F.xxhash64("text").alias("body"), F.when(wordless, F.xxhash64(F.lit(""))).otherwise(F.xxhash64("text")).alias("node"), F.col("text").cast("binary").alias("text"))
 
@@ -96,9 +116,20 @@ def signatures(docs: DataFrame, width: int, similarity: float, classes: np.ndarr
                 packed = np.minimum(counts, 255).astype(np.uint8).tobytes()
                 blobs = pa.array([packed[a:b] for a, b in zip((stop - segments).tolist(), stop.tolist(), strict=True)], pa.binary())
                 rows = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "body", "node")], pa.array(n), blobs, pa.ListArray.from_arrays(pa.array(ends), pa.array(token[take]))], names=["doc_id", "body", "node", "n", "counts", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "body", "node")], pa.array(n), blobs, pa.ListArray.from_arrays(pa.array(ends), pa.array(token[take])), pa.array(set_fingerprints(doc, token, len(part)))], names=["doc_id", "body", "node", "n", "counts", "prefix", "fp"])
+
+    return own.mapInArrow(each, "doc_id long, body long, node long, n long, counts binary, prefix array<long>, fp long")
+
 
-    return own.mapInArrow(each, "doc_id long, body long, node long, n long, counts binary, prefix array<long>")
+def grid_pairs(tuples: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``tuples(node, fp)`` that the grid brings together: at most 34 for each text, whatever the size of a cell."""
+    of = materialize(tuples.groupBy("fp").agg(F.min("node").alias("least")))
+    copies = tuples.join(of, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    cells = of.select("fp", "least", F.explode(grid_cells(F.col("fp"))).alias("cell"))
+    heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("fp", "least")).alias("head")).where("n > 1").select("cell", "head")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).between(1, NEAR_BITS)
+    across = cells.join(heads, "cell").where(near).select(F.col("head.least").alias("a"), F.col("least").alias("b")).distinct()
+    return copies.unionByName(across)
 
 
 def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -265,14 +296,21 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, width: int, similarity: floa
 
 
 def links(tuples: DataFrame, texts_of, width: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of all texts that link to another; ``tuples(node, n, counts, prefix)`` are the distinct texts."""
+    """``(node, root)`` of all texts that link to another; ``tuples(node, n, counts, prefix, fp)`` are the distinct texts."""
+    grid = materialize(possible(materialize(grid_pairs(tuples)), tuples, similarity))
+    near = materialize(alike(grid, texts_of(grid), width, similarity))
+    joined = materialize(components(near))
+    # the rest: pairs that the grid did not bring together or join
     cells = tuples.select(F.explode("prefix").alias("token"), "node", "n")
     groups = materialize(cells.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("a"), F.max("node").alias("b")).where("df > 1"))
     larger = groups.where("df > 2").select("token", "df", F.col("a").alias("least"))
     members = materialize(cells.join(small(larger, SMALL), "token").select("token", "df", "least", "node", "n"))
     met = groups.where("df = 2").select("a", "b").unionByName(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    for x in ("a", "b"):
+        met = met.join(small(joined.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), SMALL), x, "left")
+    met = met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(small(grid, SMALL), ["a", "b"], "left_anti")
     met = materialize(possible(materialize(met), tuples, similarity))
-    first = materialize(alike(met, texts_of(met), width, similarity))
+    first = materialize(near.unionByName(alike(met, texts_of(met), width, similarity)))
     roots = materialize(components(first))
     placed = members.join(roots, "node", "left").select("token", "df", "node", "n", F.coalesce("root", "node").alias("comp"))
     # cells whose texts are not all joined yet; of cells with the same texts one
@@ -288,7 +326,7 @@ def links(tuples: DataFrame, texts_of, width: int, similarity: float) -> DataFra
     sized = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.comp") != F.col("y.comp"))
     once = (F.col("x.layer") < F.col("y.layer")) | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.to") == F.col("y.layer")) & once & sized).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = materialize(possible(materialize(pairs.join(met, ["a", "b"], "left_anti")), tuples, similarity))
+    pairs = materialize(possible(materialize(pairs.join(met.unionByName(grid), ["a", "b"], "left_anti")), tuples, similarity))
     second = alike(pairs, texts_of(pairs), width, similarity)
     # the crowded cells, their neighbours, and the neighbours of those, which meet them
     near = materialize(full.select("token", F.explode(F.array(F.col("layer") - 1, "layer", F.col("layer") + 1)).alias("layer")).distinct())
@@ -305,7 +343,7 @@ def text_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     session(docs)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = materialize(signatures(own, width, similarity, bucket_classes(own, width)))
-    tuples = materialize(keyed.groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("rep"), F.first(F.struct("n", "counts", "prefix")).alias("s")).select("node", "rep", "s.n", "s.counts", "s.prefix"))
+    tuples = materialize(keyed.groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("rep"), F.first(F.struct("n", "counts", "prefix", "fp")).alias("s")).select("node", "rep", "s.n", "s.counts", "s.prefix", "s.fp"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """``node, text`` of the texts in ``pairs``."""
@@ -313,7 +351,7 @@ def text_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         found = own.join(small(needed, SMALL), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")))
         return materialize(found.select("node", "text").dropDuplicates(["node"]))
 
-    roots = links(tuples.select("node", "n", "counts", "prefix"), texts_of, width, similarity)
+    roots = links(tuples.select("node", "n", "counts", "prefix", "fp"), texts_of, width, similarity)
     groups = materialize(tuples.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
     firsts = materialize(groups.groupBy("root").agg(F.min("rep").alias("first")))
     named = materialize(groups.join(firsts, "root").select("node", "first"))
