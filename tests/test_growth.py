@@ -3,12 +3,15 @@
 import hashlib
 import re
 import time
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import spans as S
 from veilspark.operators import linking, related, textindex
-from veilspark.plans import corpus, mailing
+from veilspark.plans import corpus, facts, glossary, mailing
 
 
 def plan(df):
@@ -96,6 +99,47 @@ def test_rendering_is_linear(spark):
     assert time.time() - began < 15 and "substring" not in plan(shown)
 
 
+def test_entries_read_documents_once(spark, tmp_path):
+    """Terms are counted as strings in one reading, without places and passes over arrays; the counts are those of each pattern by itself."""
+    texts = [
+        "Walking, then Walking,then Ab cd Readers  of McDonaldson Of x A bc ABcdefg hi", "Somebody.Here@Walking.Example.com_Xy@Readers.org x@y.z @ 1.2.3.4.5.6.7.8 12.34.56.789",
+        "Écoles Élysées Walkingé ofé Readers\nof Readers, \tof Sunday,  x Monday ,y Tuesday , z", "", None, "1234.5.6.7 9.9.9.9@x.com Ann Lee Annotated lee, Xyzzyab cd9 Xyzzyab",
+    ]
+    write(spark, tmp_path, "documents", [(k, t, "s") for k, t in enumerate(texts * 2 + texts[:2])], "doc_id long, text string, source string")
+    patterns = {**facts.KINDS, "organisation": glossary.PHRASE}
+    seen = Counter((c, m) for t in texts * 2 + texts[:2] for c, p in patterns.items() for m in re.findall(p, t or ""))
+    want = {(c, m): (n, 100 if c in ("email", "ip_address") else len(m) * 13 % 61 + 40) for (c, m), n in seen.items()}
+    for least in (1, 3):
+        found = glossary.entries(spark, str(tmp_path), least)
+        assert {(r["category"], r["term"]): (r["n"], r["hundredths"]) for r in found.collect()} == {k: (n, h) for k, (n, h) in want.items() if n >= least and h >= 50}
+    text = plan(glossary.entries(spark, str(tmp_path))).split("== Physical Plan ==")[1]
+    assert text.count("FileScan") == text.count("regexp_extract_all") // 3 == 1 and "aggregate(" not in text.lower().replace("hashaggregate(", "")
+
+
+def test_short_terms_are_hashed_where_they_may_begin(monkeypatch):
+    """A window of few bytes is hashed only where a term of that length may begin, not at every place."""
+    data = ("x" * 50 + "Is a" + "é" * 20).encode() * 500
+    whole, asked, at = linking.Windows(data), [], linking.Windows.at
+    for n in (1, 4, 6, 48, len(data), len(data) + 1):
+        assert whole.all(n).tolist() == whole.at(np.arange(max(0, len(data) - n + 1)), n).tolist()
+    firsts, heads, bits = np.zeros(256, np.uint64), np.zeros(1 << linking.HEADS, np.uint64), np.full(4, 2**64 - 1, np.uint64)
+    firsts[ord("I")] = 1 << 4
+    monkeypatch.setattr(linking.Windows, "at", lambda self, start, n: asked.append(len(start)) or at(self, start, n))
+    assert linking.candidates(data, [4], firsts, heads, bits).tolist() == [int(linking.Windows(b"Is a").all(4)[0])]
+    assert sum(asked) == 500 and len(linking.candidates(b"", [4], firsts, heads, bits)) == 0
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_anchors_are_made_once_for_a_term(spark, most):
+    """Rendering takes the anchors that come with the links; they are those of ``anchor``."""
+    terms = ["Ann Lee", "É😀x", "[Z]\t9", "ÀB", "\u212aelvin K", "İi"]
+    docs = spark.createDataFrame([(k, f"a {t} {terms[0]}, {t}") for k, t in enumerate(terms)], "doc_id long, text string")
+    found = linking.linked(docs, spark.createDataFrame([(t,) for t in terms], "term string"), most=most)
+    got = found.select("anchors", F.transform("links", lambda m: linking.anchor(m["term"])).alias("want"), *[linking.rendered(s) for s in linking.STYLES])
+    assert all(len(r["anchors"]) == 3 and r["anchors"] == r["want"] for r in got.collect())
+    assert "regexp_replace" not in plan(found.select(linking.rendered("html")))
+
+
 def test_search_moves_no_postings_per_query(spark):
     """What a search moves are lists of a shard's postings and k texts of a shard for each query, not a row for each posting that a query reads."""
     df = spark.range(20_000).select("id", F.concat_ws(" ", F.lit("common words of all"), F.concat(F.lit("w"), F.translate((F.col("id") % 997).cast("string"), "0123456789", "abcdefghij"))).alias("text"))

@@ -1,7 +1,7 @@
 """Links of glossary terms in texts, by Aho-Corasick automata.
 
 Up to ``most`` terms make one automaton, built once per worker from a broadcast list. More terms are never in one
-place: texts are cut into chunks of about ``CHUNK`` bytes, a chunk's windows that pass two small bit tables of all terms give hashes, these are joined
+place: texts are cut into chunks of about ``CHUNK`` bytes, a chunk's windows that pass small bit tables of all terms give hashes, these are joined
 with the terms' own hashes, and each chunk meets an automaton of the terms joined to it. The tables only spare rows of that
 join, and the automaton compares characters, so equal hashes of different strings change nothing. Each text is searched once, whatever the number of terms.
 """
@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import short_batches, stored
+from .shared import short_batches, spread, stored
 
 LINKS = "array<struct<start:int,end:int,term:string>>"
 MOST_TERMS = 50_000
 #: Bytes and rows of a chunk of texts.
 CHUNK, CHUNK_ROWS = 1 << 20, 20_000
-#: Bytes of a term by which it is first known, most bytes that are hashed, and binary logarithms of the sizes of both tables (most bits of the second).
+#: Bytes of a term by which it is first known (the first byte where it has fewer), most bytes that are hashed, and binary logarithms of the sizes of the tables of longer beginnings and of hashes.
 HEAD, LONGEST, HEADS, FEWEST_BITS, MOST_BITS = 6, 48, 20, 16, 26
 STYLES = ("markdown", "html", "wiki")
 
@@ -73,8 +73,8 @@ def chosen(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def linked(docs: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """``docs(doc_id, text)`` with ``links`` (start and end in code points, term): occurrences of ``terms(term)``, earliest, then longest.
 
-    ``gaps`` are the pieces of the text before, between and after its links. A term is any string, of several words and marks too; null and
-    empty terms are none. Null text counts as empty. Rows of one id and text have the same links, and come back as often as they came.
+    ``gaps`` are the pieces of the text before, between and after its links, ``anchors`` the anchors of the links' terms. A term is any string,
+    of several words and marks too; null and empty terms are none. Null text counts as empty. Rows of one id and text have the same links, and come back as often as they came.
     """
     short_batches(docs.sparkSession)
     own = stored(terms.where("term <> ''").select("term").distinct())
@@ -83,7 +83,7 @@ def linked(docs: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFra
 
 
 def with_links(doc_ids, texts, built: ahocorasick.Automaton) -> dict:
-    """Columns ``doc_id, text, links, gaps`` of some texts."""
+    """Columns ``doc_id, text, links, gaps, anchors`` of some texts."""
     start, end, term, gaps, ends, cuts = [], [], [], [], [0], [0]
     for text in texts.to_pylist():
         cursor = 0
@@ -96,17 +96,20 @@ def with_links(doc_ids, texts, built: ahocorasick.Automaton) -> dict:
         gaps.append(text[cursor:])
         ends.append(len(start))
         cuts.append(len(gaps))
-    each = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(term, pa.string())], ["start", "end", "term"])
-    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for at, x in ((ends, each), (cuts, pa.array(gaps, pa.string())))]
-    return {"doc_id": doc_ids, "text": texts, "links": lists[0], "gaps": lists[1]}
+    own = pa.array(term, pa.string())
+    each = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), own], ["start", "end", "term"])
+    known = own.dictionary_encode()  # each term's anchor is made once, as ``anchor`` makes it
+    anchors = pc.replace_substring_regex(pc.ascii_lower(known.dictionary), "[^a-z0-9]", "-").take(known.indices)
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for at, x in ((ends, each), (cuts, pa.array(gaps, pa.string())), (ends, anchors))]
+    return {"doc_id": doc_ids, "text": texts, "links": lists[0], "gaps": lists[1], "anchors": lists[2]}
 
 
 def linked_schema(texts: DataFrame) -> str:
-    return f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, links {LINKS}, gaps array<string>"
+    return f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, links {LINKS}, gaps array<string>, anchors array<string>"
 
 
 def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, text, links, gaps`` by one automaton of ``terms``, which the caller has bounded."""
+    """``doc_id, text, links, gaps, anchors`` by one automaton of ``terms``, which the caller has bounded."""
     listed = texts.sparkSession.sparkContext.broadcast([r["term"] for r in terms.collect()])
     name = f"{listed.id if hasattr(listed, 'id') else id(listed)}"
 
@@ -133,21 +136,35 @@ class Windows:
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
 
     def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        h = (self.sums[start + length] - self.sums[start]) * Windows._steps[1][start] + np.asarray(length).astype(np.uint64)
+        return self.mixed((self.sums[start + length] - self.sums[start]) * Windows._steps[1][start] + np.asarray(length).astype(np.uint64))
+
+    def all(self, length: int) -> np.ndarray:
+        """Those of every place, as ``at`` gives them."""
+        n = max(0, self.size - length + 1)
+        return self.mixed((self.sums[length : length + n] - self.sums[:n]) * Windows._steps[1][:n] + np.uint64(length))
+
+    @staticmethod
+    def mixed(h: np.ndarray) -> np.ndarray:
         for shift in (32, 29):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return h
 
 
-def candidates(data: bytes, lengths: list[int], heads: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def candidates(data: bytes, lengths: list[int], firsts: np.ndarray, heads: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Hashes of the windows of the given lengths that pass the tables: all those of terms are among them."""
+
+    def places(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(kinds)
+        return at, kinds[at]
+
     windows, found = Windows(data), []
-    at = np.arange(max(0, windows.size - HEAD + 1))
-    kinds = heads[windows.at(at, HEAD) >> np.uint64(64 - HEADS)]
-    at = at[kinds != 0]
-    kinds = kinds[kinds != 0]
+    short = places(firsts[np.frombuffer(data, np.uint8)])
+    long = places(heads[windows.all(HEAD) >> np.uint64(64 - HEADS)])
     for n in lengths:
-        some = np.arange(max(0, windows.size - n + 1)) if n < HEAD else at[(kinds >> np.uint64(n)) & np.uint64(1) != 0]
+        at, kinds = short if n < HEAD else long
+        some = at[(kinds >> np.uint64(n)) & np.uint64(1) != 0]
         h = windows.at(some[some + n <= windows.size], n)
         slot = h & np.uint64(64 * len(bits) - 1)
         found.append(np.unique(h[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0]))
@@ -155,7 +172,7 @@ def candidates(data: bytes, lengths: list[int], heads: np.ndarray, bits: np.ndar
 
 
 def met(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, text, links, gaps``, each chunk of texts by an automaton of the terms whose hashes are those of its windows."""
+    """``doc_id, text, links, gaps, anchors``, each chunk of texts by an automaton of the terms whose hashes are those of its windows."""
     spark = texts.sparkSession
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +181,10 @@ def met(texts: DataFrame, terms: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in raw], np.int64)
             n, windows = np.minimum(size, LONGEST), Windows(b"".join(raw))
             first = np.cumsum(size) - size
-            head = np.where(n < HEAD, -1, (windows.at(first, np.minimum(n, HEAD)) >> np.uint64(64 - HEADS)).astype(np.int64))
+            head = np.where(n < HEAD, [x[0] for x in raw], (windows.at(first, np.minimum(n, HEAD)) >> np.uint64(64 - HEADS)).astype(np.int64))
             yield pa.RecordBatch.from_pydict({"term": batch.column("term"), "n": pa.array(n), "head": pa.array(head), "h": pa.array(windows.at(first, n).view(np.int64))})
 
-    keyed = stored(terms.mapInArrow(hashed, "term string, n long, head long, h long"))
+    keyed = stored(spread(terms).mapInArrow(hashed, "term string, n long, head long, h long"))
     lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())
     size = 1 << min(max((16 * keyed.count()).bit_length(), FEWEST_BITS), MOST_BITS)
 
@@ -179,7 +196,8 @@ def met(texts: DataFrame, terms: DataFrame) -> DataFrame:
         return out.view(np.uint64)
 
     word = F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6)
-    tables = spark.sparkContext.broadcast((table(keyed.where("head >= 0"), F.col("head"), F.col("n"), 1 << HEADS), table(keyed, word, F.col("h").bitwiseAND(F.lit(63)), size // 64)))
+    known = [table(keyed.where(few), F.col("head"), F.col("n"), slots) for few, slots in ((F.col("n") < HEAD, 256), (F.col("n") >= HEAD, 1 << HEADS))]
+    tables = spark.sparkContext.broadcast((*known, table(keyed, word, F.col("h").bitwiseAND(F.lit(63)), size // 64)))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -223,12 +241,13 @@ def anchor(term: Column) -> Column:
     return F.regexp_replace(letters, "[^a-z0-9]", "-")
 
 
-def link(term: Column, style: str) -> Column:
-    """A term's link in one of the styles."""
+def link(term: Column, style: str, mark: Column | None = None) -> Column:
+    """A term's link in one of the styles; ``mark`` is its anchor, where that is known already."""
+    mark = anchor(term) if mark is None else mark
     if style == "markdown":
-        return F.concat(F.lit("["), term, F.lit("](#glossary-"), anchor(term), F.lit(")"))
+        return F.concat(F.lit("["), term, F.lit("](#glossary-"), mark, F.lit(")"))
     if style == "html":
-        return F.concat(F.lit('<a href="#glossary-'), anchor(term), F.lit('">'), term, F.lit("</a>"))
+        return F.concat(F.lit('<a href="#glossary-'), mark, F.lit('">'), term, F.lit("</a>"))
     if style == "wiki":
         return F.concat(F.lit("[["), term, F.lit("]]"))
     raise ValueError(f"unknown style {style}")
@@ -236,7 +255,7 @@ def link(term: Column, style: str) -> Column:
 
 def rendered(style: str) -> Column:
     """The text of a ``linked`` row with its links written in a style."""
-    after = F.transform("links", lambda m, i: F.concat(link(m["term"], style), F.get("gaps", i + 1)))
+    after = F.transform("links", lambda m, i: F.concat(link(m["term"], style, F.get("anchors", i)), F.get("gaps", i + 1)))
     return F.concat(F.get("gaps", F.lit(0)), F.array_join(after, ""))
 
 
