@@ -121,12 +121,15 @@ def test_short_terms_are_hashed_where_they_may_begin(monkeypatch):
     data = ("x" * 50 + "Is a" + "é" * 20).encode() * 500
     whole, asked, at = linking.Windows(data), [], linking.Windows.at
     for n in (1, 4, 6, 48, len(data), len(data) + 1):
-        assert whole.all(n).tolist() == whole.at(np.arange(max(0, len(data) - n + 1)), n).tolist()
+        every = whole.at(np.arange(max(0, len(data) - n + 1)), n)
+        assert whole.all(n).tolist() == every.tolist() and whole.all(n, 40_000, 7).tolist() == every[40_000:40_007].tolist()
     firsts, heads, bits = np.zeros(256, np.uint64), np.zeros(1 << linking.HEADS, np.uint64), np.full(4, 2**64 - 1, np.uint64)
     firsts[ord("I")] = 1 << 4
     monkeypatch.setattr(linking.Windows, "at", lambda self, start, n: asked.append(len(start)) or at(self, start, n))
     assert linking.candidates(data, [4], firsts, heads, bits).tolist() == [int(linking.Windows(b"Is a").all(4)[0])]
-    assert sum(asked) == 500 and len(linking.candidates(b"", [4], firsts, heads, bits)) == 0
+    heads[int(linking.Windows(b"Is a\xc3\xa9").all(6)[0]) >> 64 - linking.HEADS] = 1 << 7
+    assert linking.candidates(data, [7], firsts, heads, bits).tolist() == [int(linking.Windows(b"Is a\xc3\xa9\xc3").all(7)[0])]
+    assert sum(asked) < 1100 and len(linking.candidates(b"", [4], firsts, heads, bits)) == 0
 
 
 @pytest.mark.parametrize("most", [100, 2])

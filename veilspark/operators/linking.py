@@ -9,7 +9,7 @@ join, and the automaton compares characters, so equal hashes of different string
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,8 +25,12 @@ LINKS = "array<struct<start:int,end:int,term:string>>"
 MOST_TERMS = 50_000
 #: Bytes and rows of a chunk of texts.
 CHUNK, CHUNK_ROWS = 1 << 20, 20_000
+#: Places whose beginnings are looked up at a time, few enough for a processor's cache.
+BLOCK = 1 << 15
 #: Bytes of a term by which it is first known (the first byte where it has fewer), most bytes that are hashed, and binary logarithms of the sizes of the tables of longer beginnings and of hashes.
 HEAD, LONGEST, HEADS, FEWEST_BITS, MOST_BITS = 6, 48, 20, 16, 26
+#: Where the bits of a hash begin that name its bits in the table of hashes.
+PROBES = (0, 32)
 STYLES = ("markdown", "html", "wiki")
 
 _BUILT: dict[str, ahocorasick.Automaton] = {}
@@ -138,10 +142,11 @@ class Windows:
     def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return self.mixed((self.sums[start + length] - self.sums[start]) * Windows._steps[1][start] + np.asarray(length).astype(np.uint64))
 
-    def all(self, length: int) -> np.ndarray:
-        """Those of every place, as ``at`` gives them."""
-        n = max(0, self.size - length + 1)
-        return self.mixed((self.sums[length : length + n] - self.sums[:n]) * Windows._steps[1][:n] + np.uint64(length))
+    def all(self, length: int, begin: int = 0, most: int | None = None) -> np.ndarray:
+        """Those of every place, or of ``most`` places from ``begin`` on, as ``at`` gives them."""
+        stop = max(begin, self.size - length + 1)
+        stop = stop if most is None else min(stop, begin + most)
+        return self.mixed((self.sums[begin + length : stop + length] - self.sums[begin:stop]) * Windows._steps[1][begin:stop] + np.uint64(length))
 
     @staticmethod
     def mixed(h: np.ndarray) -> np.ndarray:
@@ -155,19 +160,27 @@ class Windows:
 def candidates(data: bytes, lengths: list[int], firsts: np.ndarray, heads: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Hashes of the windows of the given lengths that pass the tables: all those of terms are among them."""
 
-    def places(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(kinds)
-        return at, kinds[at]
+    def places(parts: Iterable[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where terms may begin, of all places' slots in a table, and the bits of their lengths; few places need the wide table."""
+        at, kinds, some, begin = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], table != 0, 0
+        for slots in parts:
+            here = np.flatnonzero(some[slots])
+            at.append(here + begin)
+            kinds.append(table[slots[here]])
+            begin += len(slots)
+        return np.concatenate(at), np.concatenate(kinds)
 
     windows, found = Windows(data), []
-    short = places(firsts[np.frombuffer(data, np.uint8)])
-    long = places(heads[windows.all(HEAD) >> np.uint64(64 - HEADS)])
+    short = places([np.frombuffer(data, np.uint8)], firsts)
+    long = places((windows.all(HEAD, k, BLOCK) >> np.uint64(64 - HEADS) for k in range(0, windows.size, BLOCK)), heads)
     for n in lengths:
         at, kinds = short if n < HEAD else long
         some = at[(kinds >> np.uint64(n)) & np.uint64(1) != 0]
         h = windows.at(some[some + n <= windows.size], n)
-        slot = h & np.uint64(64 * len(bits) - 1)
-        found.append(np.unique(h[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0]))
+        for shift in PROBES:
+            slot = (h >> np.uint64(shift)) & np.uint64(64 * len(bits) - 1)
+            h = h[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0]
+        found.append(np.unique(h))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -195,9 +208,10 @@ def met(texts: DataFrame, terms: DataFrame) -> DataFrame:
         out[got.column("slot").to_numpy()] = got.column("word").to_numpy()
         return out.view(np.uint64)
 
+    probed = keyed.select(F.explode(F.array(*[F.shiftrightunsigned("h", k) for k in PROBES])).alias("h"))
     word = F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6)
     known = [table(keyed.where(few), F.col("head"), F.col("n"), slots) for few, slots in ((F.col("n") < HEAD, 256), (F.col("n") >= HEAD, 1 << HEADS))]
-    tables = spark.sparkContext.broadcast((*known, table(keyed, word, F.col("h").bitwiseAND(F.lit(63)), size // 64)))
+    tables = spark.sparkContext.broadcast((*known, table(probed, word, F.col("h").bitwiseAND(F.lit(63)), size // 64)))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
