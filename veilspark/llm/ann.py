@@ -138,7 +138,7 @@ def nearest(
     centres = {d: train(np.array(rows, np.float64), eta) for d, rows in by_length.items() if len(rows) >= CENTRES}
     index = materialize(S.pack(vectors, "shard", n_shards, lambda ids, m: pack_index(ids, m, centres, eta)))
     blocks = S.pack(queries, "block", n_blocks, lambda ids, m: pickle.dumps({"ids": ids, "rows": m}))
-    hits = S.search(blocks, index, n_blocks, 0, n_shards, lambda b, x: scan_codes(b, x, centres, k, rerank))
+    hits = S.search(blocks, index, n_blocks, 0, n_shards, lambda b, x: scan_codes(b, x, centres, k, rerank), k, "score")
     return S.ranked(hits, k, "score").select("query_id", "rank", "vec_id", "score")
 
 

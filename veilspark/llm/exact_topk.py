@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
         if low < high:
             if hits is not None:
                 blocks = with_bounds(blocks, hits, k, n_blocks)
-            wave = materialize(S.search(blocks, trees, n_blocks, low, high, lambda b, t: scan_tree(b, t, k)))
+            wave = materialize(S.search(blocks, trees, n_blocks, low, high, lambda b, t: scan_tree(b, t, k), k, "exact"))
             hits = wave if hits is None else hits.unionByName(wave)
     return S.ranked(hits, k, "exact").select("query_id", "rank", "vec_id", F.col("exact").alias("score"))
 

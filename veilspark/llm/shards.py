@@ -2,8 +2,9 @@
 
 Rows are dealt to shards of about ``shard_rows`` by a hash of their id, and each
 shard becomes one row holding its index as bytes. Queries are packed into blocks
-likewise. A search is then an equi-join of (block, shard) pairs followed by a
-vectorised scan, so a task holds one block and one shard, whatever the table's size.
+likewise. In a search some blocks meet some shards as a cogroup, so a task holds at most ``TOGETHER``
+of each, whatever the table's size, and hands on the k best of a query. No row is unfolded into a join:
+Spark does not count what an explode multiplies, and would broadcast such a side.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HITS = "query_id long, vec_id long, score double, exact long"
+#: Blocks, and shards, that meet in one task at most.
+TOGETHER = 16
 
 
 def finite(vector: Column) -> Column:
@@ -52,17 +55,32 @@ def parts_of(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def search(blocks: DataFrame, shards: DataFrame, n_blocks: int, low: int, high: int, scan: Callable) -> DataFrame:
-    """Every block against the shards ``low`` to ``high - 1``: the rows that ``scan(block, shard)`` yields."""
-    left = shards.where((F.col("shard") >= low) & (F.col("shard") < high)).select("dim", "shard", F.col("blob").alias("index"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    right = blocks.select("dim", "block", F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("shard"))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for queries, index in zip(batch["queries"], batch["index"], strict=True):
-                yield scan(pickle.loads(queries), pickle.loads(index))
-
-    return left.join(right, ["dim", "shard", "block"]).select("queries", "index").mapInPandas(each, HITS)
+def search(blocks: DataFrame, shards: DataFrame, n_blocks: int, low: int, high: int, scan: Callable, k: int, score: str) -> DataFrame:
+    """Every block against the shards ``low`` to ``high - 1``: of the rows that ``scan(block, shard)`` returns the k best by ``score`` of each query and group of shards."""
+    n = high - low
+    across = -(-n_blocks // TOGETHER)
+    # as few copies of the queries as keep the task slots busy
+    down = max(-(-n // TOGETHER), min(n, -(-4 * blocks.sparkSession.sparkContext.defaultParallelism // across)))
+    copies = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    left = shards.where((F.col("shard") >= low) & (F.col("shard") < high)).select("dim", ((F.col("shard") - low) % down).alias("y"), copies(across, "x"), "blob")
+    right = blocks.select("dim", (F.col("block") % across).alias("x"), copies(down, "y"), "blob")
+
+    def each(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [pickle.loads(x) for x in held["blob"]]
+        out = [best_rows(pd.concat([scan(queries, x) for x in found]), k, score) for queries in map(pickle.loads, asked["blob"] if found else [])]
+        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score", "exact")})
+
+    dealt = [x.repartition(across * down, "dim", "x", "y").groupBy("dim", "x", "y") for x in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(each, HITS)
+
+
+def best_rows(hits: pd.DataFrame, k: int, score: str) -> pd.DataFrame:
+    """The k best of ``hits`` for each query by ``score`` falling, then ``vec_id``."""
+    by, of = hits[score].to_numpy(), hits["query_id"].to_numpy()
+    order = np.lexsort((hits["vec_id"].to_numpy(), ~by if by.dtype.kind == "i" else -by, of))
+    first = np.flatnonzero(np.diff(of[order], prepend=of[order[:1]] - 1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    return hits.iloc[order[rank < k]]
 
 
 def ranked(hits: DataFrame, k: int, score: str) -> DataFrame:
