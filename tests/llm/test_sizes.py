@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import ann, exact_topk
+from veilspark.llm import ann, exact_topk, simhash
 from veilspark.llm import shards as S
 
 
@@ -32,3 +32,23 @@ def test_search_meets_in_groups(spark, monkeypatch, together):
             best = [x for x in np.lexsort((np.arange(400), -score[q])).tolist() if x != q][:4]
             assert [got[q][n] for n in (1, 2, 3, 4)] == best
     assert "Join" not in plan(found["op3"])
+
+
+def test_grid_cells_are_not_broadcast(spark):
+    """33 cells of a fingerprint, and 120 parts of a crowded one, count as one row for Spark; they are joined by a shuffle."""
+    fps = [int(x) for x in np.random.default_rng(5).integers(-(2**63), 2**63, 300)]
+    near = [fps[0] ^ (1 << a) ^ (1 << b) for a in range(0, 60, 3) for b in (1, 62)]
+    df = spark.createDataFrame([(x,) for x in dict.fromkeys(fps + near)], "fp long")
+    for crowd in (64, 4):
+        found = simhash.fingerprint_links(df, crowd=crowd)
+        every = [r["fp"] for r in df.collect()]
+        assert {tuple(r) for r in found.collect()} == {(a, b) for a in every for b in every if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+        assert "Broadcast" not in plan(found)
+
+
+def test_wide_grid_is_shuffled(spark, monkeypatch):
+    """What is written of the grid comes of a join by shuffle as well."""
+    seen = []
+    monkeypatch.setattr(simhash, "materialize", lambda df: seen.append(plan(df)) or df)
+    simhash.fingerprint_links(spark.range(200).select(F.xxhash64("id").alias("fp")))
+    assert len(seen) == 1 and "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]

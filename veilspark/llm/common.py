@@ -62,6 +62,11 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table that is joined by a shuffle, never broadcast: Spark does not count what an explode multiplies, and would take it for small."""
+    return df.hint("merge")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, components, materialize, session
+from .common import WORD, components, materialize, session, shuffled
 
 SEGMENTS = 16
 SEED = 42
@@ -126,13 +126,13 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, crowd: int = 64) -> Dat
     cells = fps.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     close = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
-    sized = materialize(cells.join(sizes, "cell"))
+    sized = materialize(shuffled(cells).join(sizes, "cell"))
     calm = sized.where(F.col("n") <= crowd)
-    pairs = calm.alias("l").join(calm.alias("r"), (F.col("l.cell") == F.col("r.cell")) & close)
+    pairs = shuffled(calm).alias("l").join(calm.alias("r"), (F.col("l.cell") == F.col("r.cell")) & close)
     crowded = sized.where(F.col("n") > crowd).select("fp").distinct()
     masks = F.array(*[F.lit(m) for m in KEPT])
     parts = crowded.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("m", "part"))
-    hot = parts.alias("l").join(parts.alias("r"), (F.col("l.m") == F.col("r.m")) & (F.col("l.part") == F.col("r.part")) & close)
+    hot = shuffled(parts).alias("l").join(parts.alias("r"), (F.col("l.m") == F.col("r.m")) & (F.col("l.part") == F.col("r.part")) & close)
     both = [x.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")) for x in (pairs, hot)]
     return both[0].unionByName(both[1]).distinct()
 
