@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import ann, exact_topk, simhash
+from veilspark.llm import ann, common, exact_topk, similar, simhash
 from veilspark.llm import shards as S
 
 
@@ -52,3 +52,25 @@ def test_wide_grid_is_shuffled(spark, monkeypatch):
     monkeypatch.setattr(simhash, "materialize", lambda df: seen.append(plan(df)) or df)
     simhash.fingerprint_links(spark.range(200).select(F.xxhash64("id").alias("fp")))
     assert len(seen) == 1 and "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
+
+
+def test_near_dedup_shuffles_what_it_unfolds(spark, monkeypatch):
+    """Cells of the grid and shingles of texts are many times what Spark takes them for; only counted tables are broadcast."""
+    tuples = spark.range(300).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    assert "BroadcastHashJoin [cell" not in plan(similar.grid_pairs(tuples)) and "SortMergeJoin [cell" in plan(similar.grid_pairs(tuples))
+    wide = tuples.withColumn("token", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    assert "Broadcast" not in plan(wide.join(common.small(spark.range(50).withColumnRenamed("id", "token"), 10), "token"))
+    seen = []
+    monkeypatch.setattr(similar, "materialize", lambda df, keep=common.materialize: seen.append(plan(df)) or keep(df))
+    monkeypatch.setattr(similar, "SMALL", 3)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k:], f"y{k % 7}"]) for k in range(40)] + [" ".join(f"z{k}{n}" for n in range(30)) for k in range(20)]
+    kept = similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    shingles = [{tuple(t.split()[n : n + 5]) for n in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert seen and not any("BroadcastHashJoin [cell" in x for x in seen)

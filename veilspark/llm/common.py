@@ -54,12 +54,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A table with a broadcast hint if it has at most ``rows`` rows, else as it is.
+    """A table with a broadcast hint if it has at most ``rows`` rows, else with one for a shuffle.
 
-    Counted first, so that what is broadcast is bounded; a larger table is joined by a
+    Counted first, so that what is broadcast is bounded, on either side of the join; a larger table is joined by a
     shuffle whose skewed partitions Spark splits.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
 
 
 def shuffled(df: DataFrame) -> DataFrame:

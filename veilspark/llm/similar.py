@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as H
-from .common import WORD, components, materialize, session, small
+from .common import WORD, components, materialize, session, shuffled, small
 from .simhash import grid_cells
 
 PER_SEGMENT, LEAST_SEGMENTS = 8, 32
@@ -128,7 +128,7 @@ def grid_pairs(tuples: DataFrame) -> DataFrame:
     cells = of.select("fp", "least", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("fp", "least")).alias("head")).where("n > 1").select("cell", "head")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).between(1, NEAR_BITS)
-    across = cells.join(heads, "cell").where(near).select(F.col("head.least").alias("a"), F.col("least").alias("b")).distinct()
+    across = shuffled(cells).join(heads, "cell").where(near).select(F.col("head.least").alias("a"), F.col("least").alias("b")).distinct()
     return copies.unionByName(across)
 
 
@@ -148,7 +148,7 @@ def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 near[rows] = np.abs(own[0] - own[1]).sum(1) <= (1 - similarity) / (1 + similarity) * (n[0] + n[1])[rows] + 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(each, "a long, b long")
+    return small(pairs, SMALL).join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(each, "a long, b long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -281,9 +281,9 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, width: int, similarity: floa
     own = parts.select("token", F.col("layer").alias("to"), F.col("parts").alias("many"))
     names = blocks.select("token", "layer", "part")
     asks = names.withColumn("to", F.explode(F.array("layer", F.col("layer") + 1))).join(own, ["token", "to"])
-    asks = asks.select("token", "layer", "part", "to", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other")).where("layer < to or part <= other")
+    asks = materialize(asks.select("token", "layer", "part", "to", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other")).where("layer < to or part <= other"))
     side = lambda x, *keys: blocks.select("token", *[F.col(o).alias(n) for o, n in zip(("layer", "part"), keys, strict=True)], F.struct("node", "comp", "n", "tokens").alias(x))
-    pairs = asks.join(side("one", "layer", "part"), ["token", "layer", "part"]).join(side("two", "to", "other"), ["token", "to", "other"]).select("one", "two")
+    pairs = small(asks, SMALL).join(side("one", "layer", "part"), ["token", "layer", "part"]).join(side("two", "to", "other"), ["token", "to", "other"]).select("one", "two")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,17 +320,17 @@ def links(tuples: DataFrame, texts_of, width: int, similarity: float) -> DataFra
     sizes = rest.groupBy("token", "layer").agg(F.count("*").alias("size"))
     full = materialize(sizes.where(F.col("size") > CROWD).select("token", F.explode(F.array(F.col("layer") - 1, "layer", F.col("layer") + 1)).alias("layer")).distinct())
     # texts in cells of a layer that is not crowded and whose neighbours are not
-    few = materialize(rest.join(full, ["token", "layer"], "left_anti"))
+    few = materialize(rest.join(small(full, SMALL), ["token", "layer"], "left_anti"))
     x = few.withColumn("to", F.explode(F.array("layer", F.col("layer") + 1))).alias("x")
     y = few.alias("y")
     sized = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.comp") != F.col("y.comp"))
     once = (F.col("x.layer") < F.col("y.layer")) | (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.to") == F.col("y.layer")) & once & sized).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = materialize(possible(materialize(pairs.join(met.unionByName(grid), ["a", "b"], "left_anti")), tuples, similarity))
+    pairs = shuffled(x).join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.to") == F.col("y.layer")) & once & sized).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = materialize(possible(materialize(pairs.join(small(met.unionByName(grid), SMALL), ["a", "b"], "left_anti")), tuples, similarity))
     second = alike(pairs, texts_of(pairs), width, similarity)
     # the crowded cells, their neighbours, and the neighbours of those, which meet them
     near = materialize(full.select("token", F.explode(F.array(F.col("layer") - 1, "layer", F.col("layer") + 1)).alias("layer")).distinct())
-    crowd = materialize(rest.join(near, ["token", "layer"], "left_semi"))
+    crowd = materialize(rest.join(small(near, SMALL), ["token", "layer"], "left_semi"))
     found = first.unionByName(second)
     if not crowd.isEmpty():
         nodes = crowd.select(F.col("node").alias("a"), F.col("node").alias("b"))
