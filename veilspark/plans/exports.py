@@ -23,9 +23,7 @@ def snk2_vault(spark, d):
     rows = t.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("tables/documents#"), F.col("doc_id").cast("string")).alias("source"), F.lit("text/plain").alias("type"), S.redact(F.col("text"), F.col("spans")).alias("content"), entities.alias("entities"))
     folder = shared_folder(spark)
     vault.write_vault(rows, folder, PROCESSED)
-    files = spark.read.format("binaryFile").load(f"{folder}/documents").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.md5("content").alias("file_md5"))
-    index = vault.read_index(spark, folder).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
-    return index.join(files, "file").select("id", "path", "pii_entities_found", "file_md5")
+    return vault.read_documents(spark, folder).select("id", "path", "pii_entities_found", F.md5("content").alias("file_md5"))
 
 
 def snk3_entity_lines(spark, d):

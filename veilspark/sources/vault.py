@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ from .mailbox import opened
 
 ENTITIES = "array<struct<category:string,start:int,end:int,confidence:double>>"
 SCHEMA = f"name string, source string, type string, content string, entities {ENTITIES}"
+#: Bytes of documents that are read at once.
+READ_BYTES = 4 << 20
 README = """# Vault export
 
 It holds {count} processed document(s).
@@ -155,3 +158,22 @@ def write_vault(rows: DataFrame, path: str, processed: str, overwrite: bool = Tr
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The document lines of a vault."""
     return spark.read.schema("id string, path string, pii_entities_found long").json(f"{path}/_index/documents-*.jsonl")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The document lines of a vault, each with its file's ``content``. Tasks open the files that the index names: the driver lists none of them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        for batch in batches:
+            held, size, first = [], 0, 0
+            for n, name in enumerate(batch.column("path").to_pylist()):
+                with system.open_input_stream(f"{root}/{name}") as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= READ_BYTES or n == len(batch) - 1:
+                    rows = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(held, pa.binary())], names=[*rows.schema.names, "content"])
+                    held, size, first = [], 0, n + 1
+
+    return read_index(spark, path).mapInArrow(each, "id string, path string, pii_entities_found long, content binary")
